@@ -159,7 +159,7 @@ def records(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: in
 
 
 def write_training_order(
-    docs: DataFrame, ranks_path: str, pattern: str, path: str | None = None, length: int = 128, pad: int = 50256, key: int = 97, shard_bytes: int = 64 << 20,
+    docs: DataFrame, ranks_path: str, pattern: str, path: str | None = None, length: int = 128, pad: int = 50256, key: int = 97, shard_bytes: int = 24 << 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> str:
     """Writes every sequence to its place in the training order and returns the folder.
@@ -195,20 +195,34 @@ def write_training_order(
 
 
 def read_shards(spark: SparkSession, path: str, length: int = 128) -> DataFrame:
-    """(shard, record, id, part, n_tokens, ids) of written shards; ids are 16-bit little-endian numbers."""
+    """(shard, record, id, part, n_tokens, ids) of written shards; ids are 16-bit little-endian numbers.
+
+    A shard is cut into its records by their stride, without a copy of the whole
+    for each; a shard that ends within a record is an error.
+    """
     stride = HEADER + 2 * length + 1
-    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
-    cut = files.select("shard", F.expr(f"transform(sequence(0, length(content) div {stride} - 1), r -> substring(content, r * {stride} + 1, {stride - 1}))").alias("_r"))
-    rows = cut.select("shard", F.posexplode("_r").alias("record", "_v"))
-    return rows.select(
-        "shard", F.col("record").cast("long").alias("record"),
-        *[F.expr(_little(at, n)).cast(kind).alias(name) for name, at, n, kind in (("id", 1, 8, "long"), ("part", 9, 4, "int"), ("n_tokens", 13, 4, "int"))],
-        F.expr(f"substring(_v, {HEADER + 1}, {2 * length})").alias("ids"))
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kind = np.dtype([("id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("ids", f"V{2 * length}"), ("end", "u1")])
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_buffer()
+                if len(data) % stride:
+                    raise ValueError(f"shard {shard} ends within a record")
+                rows = np.frombuffer(data, kind)
+                for at in range(0, len(rows), 8192):
+                    part = rows[at : at + 8192]
+                    ids = np.ascontiguousarray(part["ids"]).tobytes()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([shard] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part))), pa.array(np.ascontiguousarray(part["id"])), pa.array(np.ascontiguousarray(part["part"])),
+                        pa.array(np.ascontiguousarray(part["n"])), pa.array([ids[k : k + 2 * length] for k in range(0, len(ids), 2 * length)], pa.binary())],
+                        names=["shard", "record", "id", "part", "n_tokens", "ids"])
 
-def _little(at: int, n: int) -> str:
-    """SQL: the number in n little-endian bytes of ``_v``."""
-    return f"conv(concat({', '.join(f'hex(substring(_v, {at + k}, 1))' for k in reversed(range(n)))}), 16, -10)"
+    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
+    return files.mapInArrow(run, "shard long, record long, id long, part int, n_tokens int, ids binary")
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str, length: int = 128) -> DataFrame:
