@@ -118,9 +118,9 @@ def search(
     fitted on a bounded sample deals every class to a leaf. A query walks the
     tree best bin first; how many leaves it visits is widened, on a bounded set
     of queries compared with all classes, until the mean recall of that set is
-    at least ``recall``. Leaves are cut into blocks of bounded rows, a block
-    meets the queries that visit its leaf, and each query keeps its best
-    candidates of all blocks, whose products are summed anew in a fixed order.
+    at least ``recall``. Leaves are laid into blocks of bounded rows, a block
+    meets the queries that visit one of its leaves, scores them on those leaves
+    alone and gives each its best; a query keeps its best candidates of all blocks, whose products are summed anew in a fixed order.
 
     Returns query_id, rank from 1, vec_id, score (the inner product of the
     original vectors in double precision), nearest first, ties to the smaller
@@ -161,40 +161,48 @@ def search(
     wanted, _ = save(classes.select("c", "v").join(asked.select("c").distinct(), "c", "left_semi"), "query-classes")
     most = calibrate(leaves, wanted, tree, k, recall, seed)
 
+    # neighbouring leaves share a block of bounded rows and a large leaf has several, so a query meets a block once
+    place = blocks_of([r["n"] for r in leaves.groupBy("leaf").agg(F.count("*").alias("n")).join(spark.range(tree.leaves).withColumnRenamed("id", "leaf"), "leaf", "right").select("leaf", F.coalesce("n", F.lit(0)).alias("n")).orderBy("leaf").collect()])
+    table = spark.createDataFrame([(leaf, *x) for leaf, x in enumerate(place)], "leaf long, _first long, _n long")  # at most max_leaves rows
+
     def visit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         tree = cloudpickle.loads(shared.value)
-        for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(-1, width)
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten()).reshape(-1, width)
             for i in range(len(x)):
-                go = tree.visits(x[i], most)
-                m = len(go)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * m, pa.int64()), pa.array([x[i]] * m, pa.list_(pa.float64())), pa.array(go, pa.int64())], names=["c", "v", "leaf"])
-
-    routed = wanted.mapInArrow(visit, "c long, v array<double>, leaf long")
-    counts = leaves.groupBy("leaf").agg(F.count("*").alias("_n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK_ROWS).cast("int"))
-    dealt = leaves.join(F.broadcast(counts), "leaf").select("leaf", F.pmod(F.xxhash64(F.lit(seed), "c"), blocks).cast("int").alias("b"), "c", "v")
-    sent = routed.join(F.broadcast(counts), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), "c", "v")
+                met: dict[int, list[int]] = {}
+                for leaf in tree.visits(x[i], most):
+                    for block in range(place[leaf][0], sum(place[leaf])):
+                        met.setdefault(block, []).append(leaf)
+                m = len(met)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column(0)[i].as_py()] * m, pa.int64()), pa.array([x[i]] * m, pa.list_(pa.float64())), pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.list_(pa.int64()))],
+                    names=["c", "v", "b", "go"])
+
+    sent = wanted.mapInArrow(visit, "c long, v array<double>, b long, go array<long>")
+    dealt = leaves.join(F.broadcast(table), "leaf").select((F.col("_first") + F.pmod(F.xxhash64(F.lit(seed), "c"), F.col("_n"))).alias("b"), "leaf", "c", "v")
     top = k + 8  # products of matrices may differ from those summed in order in the last bits
 
     def score(key, left, right):
         import pandas as pd
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "c": [], "s": []})
-        x, ids = np.stack(left["v"].to_numpy()), left["c"].to_numpy()
-        out = []
-        for at in range(0, len(right), 1024):
-            part = right.iloc[at : at + 1024]
-            s = np.stack(part["v"].to_numpy()) @ x.T
+        out = [pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "s": np.zeros(0)})]
+        if len(left) and len(right):
+            x, ids = np.stack(left["v"].to_numpy()), left["c"].to_numpy()
+            known, at = np.unique(left["leaf"].to_numpy(), return_inverse=True)
             m = min(top, len(ids))
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out.append(pd.DataFrame({"q": np.repeat(part["c"].to_numpy(), m), "c": ids[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()}))
+            for start in range(0, len(right), 512):
+                part = right.iloc[start : start + 512]
+                s = np.stack(part["v"].to_numpy()) @ x.T
+                s[~np.stack([np.isin(known, go) for go in part["go"]])[:, at]] = -np.inf
+                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                found = pd.DataFrame({"q": np.repeat(part["c"].to_numpy(), m), "c": ids[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()})
+                out.append(found[np.isfinite(found["s"])])
         return pd.concat(out)
 
-    scored = dealt.groupBy("leaf", "b").cogroup(sent.groupBy("leaf", "b")).applyInPandas(score, "q long, c long, s double")
+    scored = dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInPandas(score, "q long, c long, s double")
     by_query = Window.partitionBy("q").orderBy(F.desc("s"), "c")
     best = scored.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= top).select("q", "c")
     exact = (
@@ -208,6 +216,20 @@ def search(
     return per_query.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def blocks_of(rows: list[int]) -> list[tuple[int, int]]:
+    """Each leaf's first block and how many it has, from the leaves' rows."""
+    out, block, held = [], 0, 0
+    for n in rows:
+        parts = max(1, -(-n // BLOCK_ROWS))
+        if held and (parts > 1 or held + n > BLOCK_ROWS):
+            block, held = block + 1, 0
+        out.append((block, parts))
+        held += n
+        if parts > 1:
+            block, held = block + parts, 0
+    return out
+
+
 def calibrate(leaves: DataFrame, wanted: DataFrame, tree: Tree, k: int, recall: float, seed: int) -> int:
     """The least number of leaves at which the mean recall of a bounded set of queries is reached, against all classes."""
     chosen = wanted.orderBy(F.xxhash64(F.lit(seed), "c"), "c").limit(CALIBRATION_QUERIES).collect()
