@@ -8,46 +8,89 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import delete, save
 from .graph import connected_components
 
 #: Words at a time, so that a very long text needs no more memory than this many shingles.
 BLOCK = 1 << 16
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
+#: Similar texts share some band of so many least hashes: at 0.8 all bands differ in 0.1% of pairs.
+BANDS, BAND_ROWS = 10, 3
+#: Fingerprints of texts of similarity 0.8 differ in 10 bits of 64 with a deviation of 3; beyond this they aren't compared.
+FAR_BITS = 20
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """64 bits, each 1 if set in over half the XXH64 of the text's word shingles (as a signed long)."""
+def shingle_hashes(text: bytes | None, words: int) -> Iterator:
+    """XXH64 of the text's word shingles, repeats included, a block at a time; a shorter text is one shingle, an empty one has none."""
     import numpy as np
     import xxhash
 
     tokens = (text or b"").lower().split()  # of bytes: ASCII letters and the six ASCII blanks alone
     if not tokens:
-        return 0
+        return
     if len(tokens) < words:
         tokens, words = [b" ".join(tokens)], 1
-    total, n = np.zeros(64, np.int64), len(tokens) - words + 1
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(tokens) - words + 1, BLOCK):
         part = tokens[at : at + BLOCK + words - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words))))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def permutations(samples: int) -> tuple:
+    """Fixed permutations of 64-bit numbers, h to (h ^ turn) * spread with an odd spread."""
+    import numpy as np
+
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 1 << 64, samples, np.uint64), rng.integers(0, 1 << 64, samples, np.uint64) | np.uint64(1)
+
+
+def sketch(text: bytes | None, words: int = 3, permuted: tuple | None = None) -> tuple[int, list[int] | None]:
+    """The fingerprint, and the least hash under each permutation if any (None for a text without words).
+
+    The fingerprint has 64 bits, each 1 if set in over half the shingles' XXH64
+    (as a signed long).
+    """
+    import numpy as np
+
+    total, n, least = np.zeros(64, np.int64), 0, None
+    for h in shingle_hashes(text, words):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0])
+        n += len(h)
+        for at in range(0, len(h) if permuted else 0, 4096):
+            found = ((h[at : at + 4096, None] ^ permuted[0]) * permuted[1]).min(axis=0)
+            least = found if least is None else np.minimum(least, found)
+    if n == 0:
+        return 0, None
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0]), None if least is None else least.view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) for each row; a null text counts as empty, whose fingerprint is 0."""
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    return sketch(text, words)[0]
+
+
+def similarity_of(a: bytes | None, b: bytes | None, words: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; texts without words are alike."""
+    import numpy as np
+
+    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, samples: int = 0) -> DataFrame:
+    """(id, fp, least) for each row; a null text counts as empty, whose fingerprint is 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        permuted = permutations(samples) if samples else None
         for batch in batches:
-            found = [fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["_out", "fp"])
+            found = [sketch(x.as_py(), words, permuted) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["_out", "fp", "_mins"])
 
-    return docs.select(F.col(id_col).alias("_out"), F.col(text_col).cast("string").cast("binary").alias("_t")).mapInArrow(run, f"_out {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("_out"), F.col(text_col).cast("string").cast("binary").alias("_t")).mapInArrow(run, f"_out {kind}, fp bigint, _mins array<bigint>")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -80,23 +123,70 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints whose texts have this Jaccard similarity of shingles or more.
+
+    Texts of similarity 0.8 are some 10 bits apart, too many to look up by
+    segments. So texts are filed by bands of least hashes (10 bands of three,
+    and 10 of six that split blocks which a common passage fills), each is
+    paired with the first text of each of its blocks, pairs of over 20
+    differing bits are pruned, and the rest are compared shingle by shingle. A
+    block gives one pair a member however many it has. All blocks agree on the
+    order, so a group meets in few texts; a pair whose blocks are all led by
+    texts unlike it and that no third text connects is missed.
+
+    ``classes`` is (fp, key, mins), ``texts`` (key, text).
+    """
+    def band(b: int, rows: int) -> Column:
+        return F.xxhash64(F.lit(b), F.lit(rows), *[F.col("_mins")[(b * BAND_ROWS + k) % (BANDS * BAND_ROWS)] for k in range(rows)])
+
+    keys = F.array(*[band(b, rows) for rows in (BAND_ROWS, 2 * BAND_ROWS) for b in range(BANDS)])
+    filed, filed_at = save(classes.where("_mins IS NOT NULL").select("fp", F.explode(keys).alias("k")), "bands")
+    led = filed.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(SEED), "fp").alias("o"), F.col("fp").alias("b"))).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("k", "_first.b")
+    near = filed.join(led, "k").where(F.col("fp") != F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR_BITS)
+    met, _ = save(near.select(F.col("fp").alias("a"), "b").distinct(), "band-pairs")
+    delete(classes.sparkSession, filed_at)
+    one = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
+    held, _ = save(texts.join(classes.join(one, "fp", "left_semi").select("fp", F.col("_least").alias("_key")), "_key").select("fp", "_t"), "band-texts")
+    both = met.join(held.select(F.col("fp").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("fp").alias("b"), F.col("_t").alias("_tb")), "b")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            alike = [similarity_of(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary")).mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
     """Each row's fingerprint and component: what is reachable by links of at most 3 differing bits.
 
     A-Z are lower-cased, words are split at ASCII blanks and their shingles of
     ``words`` words, repeats included, are hashed; a shorter text is one
     shingle, a null or empty one has fingerprint 0 and links like any other.
     Equal fingerprints are one class before any link is sought, so groups of
-    copies cost one row. Returns id, fp long and component_id, the smallest id
+    copies cost one row. With ``similarity``, texts of that Jaccard similarity
+    or more are linked too (``similar_links``; the ids must be distinct then).
+    Returns id, fp long and component_id, the smallest id
     reachable (null if no row of the component has an id), one row for each
     input row; equal rows are treated alike and an empty table gives no rows.
     Other columns are not read.
     """
-    each, _ = save(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes, _ = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
+    each, _ = save(fingerprints(docs, id_col, text_col, words, BANDS * BAND_ROWS if similarity else 0), "fingerprints")
+    if similarity:
+        first = F.min(F.struct("_out", "_mins")).alias("_f")
+        classes, _ = save(each.groupBy("fp").agg(first).select("fp", F.col("_f._out").alias("_least"), F.col("_f._mins").alias("_mins")), "classes")
+    else:
+        classes, _ = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
     pairs, _ = save(links(classes.select("fp")), "pairs")
+    if similarity:
+        texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_t"))
+        alike, _ = save(similar_links(classes, texts, similarity, words), "similar")
+        pairs = pairs.unionByName(alike)
     roots = connected_components(pairs)
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
+    joined = classes.select("fp", "_least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
     linked = joined.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_c"))
     named = joined.join(linked, "_root", "left").select("fp", F.when(F.col("root").isNotNull(), F.col("_c")).otherwise(F.col("_least")).alias("component_id"))
     named, _ = save(named, "components")
