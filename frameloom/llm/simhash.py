@@ -129,11 +129,11 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, words
     Texts of similarity 0.8 are some 10 bits apart, too many to look up by
     segments. So texts are filed by bands of least hashes (10 bands of three,
     and 10 of six that split blocks which a common passage fills), each is
-    paired with the first text of each of its blocks, pairs of over 20
-    differing bits are pruned, and the rest are compared shingle by shingle. A
-    block gives one pair a member however many it has. All blocks agree on the
-    order, so a group meets in few texts; a pair whose blocks are all led by
-    texts unlike it and that no third text connects is missed.
+    paired with the first and the last text of each of its blocks, pairs of
+    over 20 differing bits are pruned, and the rest are compared shingle by
+    shingle. A block gives two pairs a member however many it has. All blocks
+    agree on the order, so a group meets in few texts; a pair whose blocks all
+    begin and end with texts unlike it and that no third text connects is missed.
 
     ``classes`` is (fp, key, mins), ``texts`` (key, text).
     """
@@ -142,8 +142,9 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, words
 
     keys = F.array(*[band(b, rows) for rows in (BAND_ROWS, 2 * BAND_ROWS) for b in range(BANDS)])
     filed, filed_at = save(classes.where("_mins IS NOT NULL").select("fp", F.explode(keys).alias("k")), "bands")
-    led = filed.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(SEED), "fp").alias("o"), F.col("fp").alias("b"))).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("k", "_first.b")
-    near = filed.join(led, "k").where(F.col("fp") != F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR_BITS)
+    order = F.struct(F.xxhash64(F.lit(SEED), "fp").alias("o"), F.col("fp").alias("b"))
+    ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first.b <> _last.b").select("k", "_first", "_last")
+    near = filed.join(ends, "k").select("fp", F.explode(F.array("_first.b", "_last.b")).alias("b")).where(F.col("fp") != F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR_BITS)
     met, _ = save(near.select(F.col("fp").alias("a"), "b").distinct(), "band-pairs")
     delete(classes.sparkSession, filed_at)
     one = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
