@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, save
+from .common import delete, save, text_key, text_of
 from .graph import connected_components
 
 #: Words at a time, so that a very long text needs no more memory than this many shingles.
@@ -45,52 +45,80 @@ def permutations(samples: int) -> tuple:
     return rng.integers(0, 1 << 64, samples, np.uint64), rng.integers(0, 1 << 64, samples, np.uint64) | np.uint64(1)
 
 
-def sketch(text: bytes | None, words: int = 3, permuted: tuple | None = None) -> tuple[int, list[int] | None]:
-    """The fingerprint, and the least hash under each permutation if any (None for a text without words).
-
-    The fingerprint has 64 bits, each 1 if set in over half the shingles' XXH64
-    (as a signed long).
-    """
+def fingerprint_of(blocks: Iterable) -> int:
+    """64 bits as a signed long, each 1 if set in over half the hashes; 0 of none."""
     import numpy as np
 
-    total, n, least = np.zeros(64, np.int64), 0, None
-    for h in shingle_hashes(text, words):
+    total, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-        for at in range(0, len(h) if permuted else 0, 4096):
-            found = ((h[at : at + 4096, None] ^ permuted[0]) * permuted[1]).min(axis=0)
-            least = found if least is None else np.minimum(least, found)
-    if n == 0:
-        return 0, None
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0]), None if least is None else least.view(np.int64).tolist()
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.int64)[0]) if n else 0
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
-    return sketch(text, words)[0]
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def distinct(blocks: Iterable):
+    import numpy as np
+
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+
+
+def profile(text: bytes | None, words: int, permuted: tuple) -> tuple[int, int, list[int] | None]:
+    """The fingerprint, a hash of the set of shingles, and that set's least hash under each permutation (None of an empty one)."""
+    import numpy as np
+    import xxhash
+
+    blocks = list(shingle_hashes(text, words))
+    own = distinct(blocks)
+    node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+    if not len(own):
+        return 0, node, None
+    least = [((own[at : at + 4096, None] ^ permuted[0]) * permuted[1]).min(axis=0) for at in range(0, len(own), 4096)]
+    return fingerprint_of(blocks), node, np.minimum.reduce(least).view(np.int64).tolist()
 
 
 def similarity_of(a: bytes | None, b: bytes | None, words: int) -> float:
     """Jaccard similarity of two texts' sets of word shingles; texts without words are alike."""
     import numpy as np
 
-    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])) for t in (a, b))
+    x, y = (distinct(shingle_hashes(t, words)) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, samples: int = 0) -> DataFrame:
-    """(id, fp, least) for each row; a null text counts as empty, whose fingerprint is 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """(id, fp) for each row; a null text counts as empty, whose fingerprint is 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        permuted = permutations(samples) if samples else None
         for batch in batches:
-            found = [sketch(x.as_py(), words, permuted) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["_out", "fp", "_mins"])
+            found = [fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["_out", "fp"])
+
+    return docs.select(F.col(id_col).alias("_out"), F.col(text_col).cast("string").cast("binary").alias("_t")).mapInArrow(run, f"_out {kind}, fp bigint")
 
-    return docs.select(F.col(id_col).alias("_out"), F.col(text_col).cast("string").cast("binary").alias("_t")).mapInArrow(run, f"_out {kind}, fp bigint, _mins array<bigint>")
+
+def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, text key, fp, node, least hashes) for each row; see ``profile``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        permuted = permutations(BANDS * BAND_ROWS)
+        for batch in batches:
+            found = [profile(x.as_py(), words, permuted) for x in batch.column(3)]
+            made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["_out", "_t1", "_t2", "fp", "node", "_mins"])
+
+    text = text_of(text_col)
+    told = docs.select(F.col(id_col).alias("_out"), *text_key(text), text.cast("binary").alias("_t"))
+    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, _mins array<bigint>")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -123,69 +151,136 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose texts have this Jaccard similarity of shingles or more.
+def bands(nodes: DataFrame) -> DataFrame:
+    """(node, fp, k): nodes filed by bands of least hashes, 10 of three and 10 of six that split blocks which a common passage fills.
 
     Texts of similarity 0.8 are some 10 bits apart, too many to look up by
-    segments. So texts are filed by bands of least hashes (10 bands of three,
-    and 10 of six that split blocks which a common passage fills), each is
-    paired with the first and the last text of each of its blocks, pairs of
-    over 20 differing bits are pruned, and the rest are compared shingle by
-    shingle. A block gives two pairs a member however many it has. All blocks
-    agree on the order, so a group meets in few texts; a pair whose blocks all
-    begin and end with texts unlike it and that no third text connects is missed.
-
-    ``classes`` is (fp, key, mins), ``texts`` (key, text).
+    segments. Blocks of one node are left out. ``nodes`` is (node, fp, mins).
     """
     def band(b: int, rows: int) -> Column:
         return F.xxhash64(F.lit(b), F.lit(rows), *[F.col("_mins")[(b * BAND_ROWS + k) % (BANDS * BAND_ROWS)] for k in range(rows)])
 
     keys = F.array(*[band(b, rows) for rows in (BAND_ROWS, 2 * BAND_ROWS) for b in range(BANDS)])
-    filed, filed_at = save(classes.where("_mins IS NOT NULL").select("fp", F.explode(keys).alias("k")), "bands")
-    order = F.struct(F.xxhash64(F.lit(SEED), "fp").alias("o"), F.col("fp").alias("b"))
-    ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).where("_first.b <> _last.b").select("k", "_first", "_last")
-    near = filed.join(ends, "k").select("fp", F.explode(F.array("_first.b", "_last.b")).alias("b")).where(F.col("fp") != F.col("b")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= FAR_BITS)
-    met, _ = save(near.select(F.col("fp").alias("a"), "b").distinct(), "band-pairs")
-    delete(classes.sparkSession, filed_at)
-    one = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
-    held, _ = save(texts.join(classes.join(one, "fp", "left_semi").select("fp", F.col("_least").alias("_key")), "_key").select("fp", "_t"), "band-texts")
-    both = met.join(held.select(F.col("fp").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("fp").alias("b"), F.col("_t").alias("_tb")), "b")
+    filed, filed_at = save(nodes.where("_mins IS NOT NULL").select("node", "fp", F.explode(keys).alias("k")), "bands")
+    shared = filed.groupBy("k").agg(F.min("node").alias("m"), F.max("node").alias("n")).where("m <> n").select("k")
+    out, _ = save(filed.join(shared, "k"), "shared-bands")
+    delete(nodes.sparkSession, filed_at)
+    return out
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            alike = [similarity_of(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+def band_pairs(filed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may be alike: members of a block with its first and its last one, and not of one root.
+
+    Two pairs a member and block however many it has; pairs of over 20
+    differing bits are pruned. On turn 0 all blocks agree on the order, so a
+    group meets in few texts; later each block has its own order each time, so
+    that a text left over meets up to 40 others. ``filed`` is (node, fp, k, root).
+    """
+    by = F.xxhash64(F.lit(SEED), F.lit(turn), "node", *(["k"] if turn else []))
+    order = F.struct(by.alias("o"), F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
+    ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    near = filed.join(ends, "k").select(F.col("node").alias("a"), "fp", "root", F.inline(F.array("_first", "_last")))
+    return near.where("root <> root_b AND bit_count(fp ^ fp_b) <= " + str(FAR_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def stars(roots: DataFrame) -> DataFrame:
+    """(node, root) as links, which are contracted in fewer rounds than those they came from."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-    return both.select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary")).mapInArrow(run, "a bigint, b bigint")
 
+def band_roots(nodes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that links through shared bands join; ``compare`` keeps the pairs that are links.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
+    Turns end with the first that finds no link. Between turns, blocks whose
+    members all have one root are left out, so a turn has less to do than the
+    one before.
+    """
+    filed, turn, roots = bands(nodes).withColumn("root", F.col("node")), 0, None
+    while True:
+        more = compare(band_pairs(filed, turn))
+        if turn and more.isEmpty():
+            return roots
+        roots, _ = save(connected_components(stars(roots).unionByName(more) if turn else more), "roots")
+        now = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = now.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("k")
+        filed, turn = save(now.join(mixed, "k"), "mixed-bands")[0], turn + 1
+
+
+def fingerprint_pairs(each: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes within 3 differing bits that no links join yet, by pigeonring; equal fingerprints too."""
+    named = each.select("fp", "node").distinct().join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    owners, _ = save(named, "owners")
+    prints = owners.select("fp").distinct()
+    met, _ = save(links(prints).unionByName(owners.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))), "print-pairs")
+    one = met.join(owners.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("root").alias("ra")), "a")
+    other = owners.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("root").alias("rb"))
+    apart = one.join(other, (one["b"] == other["b"]) & (F.col("ra") != F.col("rb")))
+    return apart.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have this similarity, compared shingle by shingle.
+
+    ``nodes`` is (node, text key), ``texts`` (text key, text).
+    """
+    met, _ = save(pairs, "asked")
+    wanted = nodes.select("node", "_t1", "_t2").join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(), "node", "left_semi")
+    held, _ = save(texts.join(wanted, ["_t1", "_t2"]).select("node", "_t").dropDuplicates(["node"]), "asked-texts")
+    both = met.join(held.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [similarity_of(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    out, _ = save(both.select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary")).mapInArrow(run, "a bigint, b bigint"), "alike")
+    return out
+
+
+def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Each row's fingerprint and component: what is reachable by links of texts of this similarity or more.
+
+    Similarity is that of Jaccard over the sets of shingles of ``words`` words,
+    taken as in ``near_duplicates``; texts without words are alike. Equal sets
+    are one node before any link is sought (told by 64-bit hashes, as shingles
+    are), so groups of copies cost one row. Candidates come from bands of least
+    hashes and, where those join nothing yet, from fingerprints within 3 bits;
+    each is compared exactly, so all links hold. Returns id, fp long and
+    component_id, the smallest id reachable (null if no row of the component
+    has an id), one row for each input row; a null text counts as empty, equal
+    rows are treated alike, an empty table gives no rows. Other columns are not
+    read.
+    """
+    each, _ = save(profiles(docs, id_col, text_col, words), "profiles")
+    first = F.min(F.struct("_t1", "_t2", "fp", "_mins")).alias("_f")
+    nodes, _ = save(each.groupBy("node").agg(F.min("_out").alias("_least"), first).select("node", "_least", "_f.*"), "nodes")
+    text = text_of(text_col)
+    texts = docs.select(*text_key(text), text.alias("_t"))
+    compare = lambda pairs: alike(pairs, nodes, texts, words, similarity)
+    roots = band_roots(nodes, compare)
+    roots = connected_components(stars(roots).unionByName(compare(fingerprint_pairs(each, roots))))
+    joined, _ = save(nodes.select("node", "_least").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")), "named")
+    least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return each.join(joined.join(least, "_root").select("node", "component_id"), "node").select(F.col("_out").alias(id_col), "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Each row's fingerprint and component: what is reachable by links of at most 3 differing bits.
 
     A-Z are lower-cased, words are split at ASCII blanks and their shingles of
     ``words`` words, repeats included, are hashed; a shorter text is one
     shingle, a null or empty one has fingerprint 0 and links like any other.
     Equal fingerprints are one class before any link is sought, so groups of
-    copies cost one row. With ``similarity``, texts of that Jaccard similarity
-    or more are linked too (``similar_links``; the ids must be distinct then).
-    Returns id, fp long and component_id, the smallest id
+    copies cost one row. Returns id, fp long and component_id, the smallest id
     reachable (null if no row of the component has an id), one row for each
     input row; equal rows are treated alike and an empty table gives no rows.
     Other columns are not read.
     """
-    each, _ = save(fingerprints(docs, id_col, text_col, words, BANDS * BAND_ROWS if similarity else 0), "fingerprints")
-    if similarity:
-        first = F.min(F.struct("_out", "_mins")).alias("_f")
-        classes, _ = save(each.groupBy("fp").agg(first).select("fp", F.col("_f._out").alias("_least"), F.col("_f._mins").alias("_mins")), "classes")
-    else:
-        classes, _ = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
+    each, _ = save(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    classes, _ = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
     pairs, _ = save(links(classes.select("fp")), "pairs")
-    if similarity:
-        texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_t"))
-        alike, _ = save(similar_links(classes, texts, similarity, words), "similar")
-        pairs = pairs.unionByName(alike)
     roots = connected_components(pairs)
     joined = classes.select("fp", "_least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
     linked = joined.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_c"))
