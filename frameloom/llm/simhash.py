@@ -151,8 +151,8 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """(node, fp, k): nodes filed by bands of least hashes, 10 of three and 10 of six that split blocks which a common passage fills.
+def bands(nodes: DataFrame) -> tuple[DataFrame, str]:
+    """(node, fp, k) and where it is written: nodes filed by bands of least hashes, 10 of three and 10 of six that split blocks which a common passage fills.
 
     Texts of similarity 0.8 are some 10 bits apart, too many to look up by
     segments. Blocks of one node are left out. ``nodes`` is (node, fp, mins).
@@ -163,23 +163,36 @@ def bands(nodes: DataFrame) -> DataFrame:
     keys = F.array(*[band(b, rows) for rows in (BAND_ROWS, 2 * BAND_ROWS) for b in range(BANDS)])
     filed, filed_at = save(nodes.where("_mins IS NOT NULL").select("node", "fp", F.explode(keys).alias("k")), "bands")
     shared = filed.groupBy("k").agg(F.min("node").alias("m"), F.max("node").alias("n")).where("m <> n").select("k")
-    out, _ = save(filed.join(shared, "k"), "shared-bands")
+    out, out_at = save(filed.join(shared, "k"), "shared-bands")
     delete(nodes.sparkSession, filed_at)
-    return out
+    return out, out_at
 
 
 def band_pairs(filed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of nodes that may be alike: members of a block with its first and its last one, and not of one root.
+    """Pairs (a, b) of nodes that may be alike: members of a block with a few of its others, not of one root.
+
+    On turn 0 all members meet the block's first and last one; all blocks agree
+    on the order, so a group meets in few texts. Later each block has its own
+    order each time, and only what its most frequent root has left over meets
+    others: the first of that root and the first of what is left, so up to 40
+    others over all blocks. The pairs are linear in the members however many a
+    block has; those of over 20 differing bits are pruned.
 
-    Two pairs a member and block however many it has; pairs of over 20
-    differing bits are pruned. On turn 0 all blocks agree on the order, so a
-    group meets in few texts; later each block has its own order each time, so
-    that a text left over meets up to 40 others. ``filed`` is (node, fp, k, root).
+    ``filed`` is (node, fp, k, root).
     """
     by = F.xxhash64(F.lit(SEED), F.lit(turn), "node", *(["k"] if turn else []))
     order = F.struct(by.alias("o"), F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
-    near = filed.join(ends, "k").select(F.col("node").alias("a"), "fp", "root", F.inline(F.array("_first", "_last")))
+    if turn:
+        by_root = filed.groupBy("k", "root").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+        ends = by_root.groupBy("k").agg(F.max_by("_first", F.struct("n", "root")).alias("_first"), F.max(F.struct("n", "root")).alias("_top"))
+        rest = by_root.join(ends.select("k", "_top"), "k").where("root <> _top.root").groupBy("k").agg(F.min("_first").alias("_last"))
+        ends = ends.join(rest, "k").select("k", "_first", "_last")
+    else:
+        ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    met = filed.join(ends, "k")
+    if turn:
+        met = met.where("root <> _first.root_b")
+    near = met.select(F.col("node").alias("a"), "fp", "root", F.inline(F.array("_first", "_last")))
     return near.where("root <> root_b AND bit_count(fp ^ fp_b) <= " + str(FAR_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -195,15 +208,19 @@ def band_roots(nodes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> D
     members all have one root are left out, so a turn has less to do than the
     one before.
     """
-    filed, turn, roots = bands(nodes).withColumn("root", F.col("node")), 0, None
+    filed, filed_at = bands(nodes)
+    filed, turn, roots = filed.withColumn("root", F.col("node")), 0, None
     while True:
         more = compare(band_pairs(filed, turn))
         if turn and more.isEmpty():
+            delete(nodes.sparkSession, filed_at)
             return roots
         roots, _ = save(connected_components(stars(roots).unionByName(more) if turn else more), "roots")
         now = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("k")
-        filed, turn = save(now.join(mixed, "k"), "mixed-bands")[0], turn + 1
+        after, after_at = save(now.join(mixed, "k"), "mixed-bands")
+        delete(nodes.sparkSession, filed_at)
+        filed, filed_at, turn = after, after_at, turn + 1
 
 
 def fingerprint_pairs(each: DataFrame, roots: DataFrame) -> DataFrame:
@@ -223,9 +240,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
 
     ``nodes`` is (node, text key), ``texts`` (text key, text).
     """
-    met, _ = save(pairs, "asked")
+    met, met_at = save(pairs, "asked")
     wanted = nodes.select("node", "_t1", "_t2").join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(), "node", "left_semi")
-    held, _ = save(texts.join(wanted, ["_t1", "_t2"]).select("node", "_t").dropDuplicates(["node"]), "asked-texts")
+    held, held_at = save(texts.join(wanted, ["_t1", "_t2"]).select("node", "_t").dropDuplicates(["node"]), "asked-texts")
     both = met.join(held.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -236,6 +253,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
             yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     out, _ = save(both.select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary")).mapInArrow(run, "a bigint, b bigint"), "alike")
+    for at in (met_at, held_at):
+        delete(nodes.sparkSession, at)
     return out
 
 
