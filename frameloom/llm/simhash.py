@@ -17,8 +17,6 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Similar texts share some band of so many least hashes: at 0.8 all bands differ in 0.1% of pairs.
 BANDS, BAND_ROWS = 10, 3
-#: Fingerprints of texts of similarity 0.8 differ in 10 bits of 64 with a deviation of 3; beyond this they aren't compared.
-FAR_BITS = 20
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator:
@@ -176,7 +174,7 @@ def band_pairs(filed: DataFrame, turn: int) -> DataFrame:
     order each time, and only what its most frequent root has left over meets
     others: the first of that root and the first of what is left, so up to 40
     others over all blocks. The pairs are linear in the members however many a
-    block has; those of over 20 differing bits are pruned.
+    block has; none are pruned.
 
     ``filed`` is (node, fp, k, root).
     """
@@ -193,7 +191,7 @@ def band_pairs(filed: DataFrame, turn: int) -> DataFrame:
     if turn:
         met = met.where("root <> _first.root_b")
     near = met.select(F.col("node").alias("a"), "fp", "root", F.inline(F.array("_first", "_last")))
-    return near.where("root <> root_b AND bit_count(fp ^ fp_b) <= " + str(FAR_BITS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near.where("root <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def stars(roots: DataFrame) -> DataFrame:
