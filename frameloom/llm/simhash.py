@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import delete, save, text_key, text_of
@@ -15,8 +15,10 @@ from .graph import connected_components
 BLOCK = 1 << 16
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
-#: Similar texts share some band of so many least hashes: at 0.8 all bands differ in 0.1% of pairs.
-BANDS, BAND_ROWS = 10, 3
+#: Nodes in 16 whose shingles are counted to tell common ones, in so many of them at least, and how many are told; these only order shingles and lose nothing.
+SAMPLE_IN, COMMON_IN, COMMON_MOST = 16, 3, 200_000
+#: Turns that pair blocks by a few of their members before all that is left is paired.
+STAR_TURNS = 3
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator:
@@ -35,14 +37,6 @@ def shingle_hashes(text: bytes | None, words: int) -> Iterator:
         yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
 
 
-def permutations(samples: int) -> tuple:
-    """Fixed permutations of 64-bit numbers, h to (h ^ turn) * spread with an odd spread."""
-    import numpy as np
-
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 64, samples, np.uint64), rng.integers(0, 1 << 64, samples, np.uint64) | np.uint64(1)
-
-
 def fingerprint_of(blocks: Iterable) -> int:
     """64 bits as a signed long, each 1 if set in over half the hashes; 0 of none."""
     import numpy as np
@@ -64,18 +58,32 @@ def distinct(blocks: Iterable):
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
 
 
-def profile(text: bytes | None, words: int, permuted: tuple) -> tuple[int, int, list[int] | None]:
-    """The fingerprint, a hash of the set of shingles, and that set's least hash under each permutation (None of an empty one)."""
+def profile(text: bytes | None, words: int) -> tuple[int, int, int]:
+    """The fingerprint, a hash of the set of shingles, and that set's size."""
     import numpy as np
     import xxhash
 
     blocks = list(shingle_hashes(text, words))
     own = distinct(blocks)
-    node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+    return fingerprint_of(blocks), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own)
+
+
+def prefix(text: bytes | None, words: int, similarity: float, common: tuple) -> list[int]:
+    """The first shingles of a set in an order that all texts share, rare ones first: sets of this similarity have one of them in common.
+
+    Similar sets of n and m shingles share ``similarity`` * n at least, so not
+    all shared ones are behind the first n - ceil(similarity * n) + 1. ``common``
+    is sorted hashes of common shingles and how often they were seen.
+    """
+    import numpy as np
+
+    own, (known, seen) = distinct(shingle_hashes(text, words)), common
     if not len(own):
-        return 0, node, None
-    least = [((own[at : at + 4096, None] ^ permuted[0]) * permuted[1]).min(axis=0) for at in range(0, len(own), 4096)]
-    return fingerprint_of(blocks), node, np.minimum.reduce(least).view(np.int64).tolist()
+        return []
+    at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+    often = np.where(known[at] == own, seen[at], 0) if len(known) else np.zeros(len(own), np.int64)
+    most = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
+    return own[np.lexsort((own, often))[:most]].view(np.int64).tolist()
 
 
 def similarity_of(a: bytes | None, b: bytes | None, words: int) -> float:
@@ -102,21 +110,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text key, fp, node, least hashes) for each row; see ``profile``."""
+    """(id, text key, fp, node, n) for each row; see ``profile``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        permuted = permutations(BANDS * BAND_ROWS)
         for batch in batches:
-            found = [profile(x.as_py(), words, permuted) for x in batch.column(3)]
-            made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["_out", "_t1", "_t2", "fp", "node", "_mins"])
+            found = [profile(x.as_py(), words) for x in batch.column(3)]
+            made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["_out", "_t1", "_t2", "fp", "node", "n"])
 
     text = text_of(text_col)
     told = docs.select(F.col(id_col).alias("_out"), *text_key(text), text.cast("binary").alias("_t"))
-    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, _mins array<bigint>")
+    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, n bigint")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -149,49 +156,76 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def bands(nodes: DataFrame) -> tuple[DataFrame, str]:
-    """(node, fp, k) and where it is written: nodes filed by bands of least hashes, 10 of three and 10 of six that split blocks which a common passage fills.
+def common_shingles(texts: DataFrame, words: int) -> tuple:
+    """Sorted hashes of shingles that many of a sample of ``texts`` (node, t) hold, and how many."""
+    import numpy as np
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for x in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(shingle_hashes(x.as_py(), words)).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(SAMPLE_IN)) == 0).select("node", "_t").mapInArrow(run, "h bigint")
+    rows = some.groupBy("h").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    known, seen = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    order = np.argsort(known.view(np.uint64))
+    return known.view(np.uint64)[order], seen[order]
+
 
-    Texts of similarity 0.8 are some 10 bits apart, too many to look up by
-    segments. Blocks of one node are left out. ``nodes`` is (node, fp, mins).
+def blocks(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, str]:
+    """(node, n, i, k) and where it is written: nodes filed by the shingles of their prefix, i being a shingle's place; see ``prefix``.
+
+    Blocks of one node are left out. ``texts`` is (node, n, t).
     """
-    def band(b: int, rows: int) -> Column:
-        return F.xxhash64(F.lit(b), F.lit(rows), *[F.col("_mins")[(b * BAND_ROWS + k) % (BANDS * BAND_ROWS)] for k in range(rows)])
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [prefix(x.as_py(), words, similarity, shared.value) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "_keys"])
+
+    filed = texts.select("node", "n", "_t").mapInArrow(run, "node bigint, n bigint, _keys array<bigint>").select("node", F.col("n").cast("int").alias("n"), F.posexplode("_keys").alias("i", "k"))
+    of = Window.partitionBy("k")
+    return save(filed.withColumn("_m", F.min("node").over(of)).withColumn("_n", F.max("node").over(of)).where("_m <> _n").drop("_m", "_n"), "blocks")
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Whether two nodes that meet in a block may have this similarity.
 
-    keys = F.array(*[band(b, rows) for rows in (BAND_ROWS, 2 * BAND_ROWS) for b in range(BANDS)])
-    filed, filed_at = save(nodes.where("_mins IS NOT NULL").select("node", "fp", F.explode(keys).alias("k")), "bands")
-    shared = filed.groupBy("k").agg(F.min("node").alias("m"), F.max("node").alias("n")).where("m <> n").select("k")
-    out, out_at = save(filed.join(shared, "k"), "shared-bands")
-    delete(nodes.sparkSession, filed_at)
-    return out, out_at
+    If the block's shingle is the first that they share, they share no more
+    than what either has from there on; a similar pair passes in that block.
+    """
+    return F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) * (1 + similarity) >= (F.col("n") + F.col("n_b")) * F.lit(similarity) - 1e-6
 
 
-def band_pairs(filed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of nodes that may be alike: members of a block with a few of its others, not of one root.
+def block_pairs(filed: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that may be alike, not of one root.
 
-    On turn 0 all members meet the block's first and last one; all blocks agree
-    on the order, so a group meets in few texts. Later each block has its own
-    order each time, and only what its most frequent root has left over meets
-    others: the first of that root and the first of what is left, so up to 40
-    others over all blocks. The pairs are linear in the members however many a
-    block has; none are pruned.
+    On turn 0 members meet the block's first and last one; all blocks agree on
+    the order. Up to ``STAR_TURNS`` members of other roots than the block's most
+    frequent one meet the first of that, in an order of its own. These pairs are
+    linear in the members and join large groups; then all members of different
+    roots meet, so that no pair is left out.
 
-    ``filed`` is (node, fp, k, root).
+    ``filed`` is (node, n, i, k, root).
     """
     by = F.xxhash64(F.lit(SEED), F.lit(turn), "node", *(["k"] if turn else []))
-    order = F.struct(by.alias("o"), F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("root").alias("root_b"))
-    if turn:
+    other = [F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b")]
+    order = F.struct(by.alias("o"), *other)
+    if not turn:
+        ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+        met = filed.join(ends, "k").select("node", "n", "i", "root", F.inline(F.array("_first", "_last"))).where("root <> root_b")
+    elif turn < STAR_TURNS:
         by_root = filed.groupBy("k", "root").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-        ends = by_root.groupBy("k").agg(F.max_by("_first", F.struct("n", "root")).alias("_first"), F.max(F.struct("n", "root")).alias("_top"))
-        rest = by_root.join(ends.select("k", "_top"), "k").where("root <> _top.root").groupBy("k").agg(F.min("_first").alias("_last"))
-        ends = ends.join(rest, "k").select("k", "_first", "_last")
+        tops = by_root.groupBy("k").agg(F.max_by("_first", F.struct("n", "root")).alias("_first"))
+        met = filed.join(tops, "k").select("node", "n", "i", "root", "_first.*").where("root <> root_b")
     else:
-        ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
-    met = filed.join(ends, "k")
-    if turn:
-        met = met.where("root <> _first.root_b")
-    near = met.select(F.col("node").alias("a"), "fp", "root", F.inline(F.array("_first", "_last")))
-    return near.where("root <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = filed.join(filed.select("k", *other), "k").where("root < root_b")
+    return met.where(may_be_alike(similarity)).select(F.col("node").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def stars(roots: DataFrame) -> DataFrame:
@@ -199,48 +233,34 @@ def stars(roots: DataFrame) -> DataFrame:
     return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def band_roots(nodes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the nodes that links through shared bands join; ``compare`` keeps the pairs that are links.
+def block_roots(texts: DataFrame, words: int, similarity: float, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that links join; ``compare`` keeps the pairs that are links. ``texts`` is (node, n, t).
 
-    Turns end with the first that finds no link. Between turns, blocks whose
-    members all have one root are left out, so a turn has less to do than the
-    one before.
+    Between turns, blocks whose members all have one root are left out. The
+    last turn compares all that differ in root in what blocks are left.
     """
-    filed, filed_at = bands(nodes)
-    filed, turn, roots = filed.withColumn("root", F.col("node")), 0, None
-    while True:
-        more = compare(band_pairs(filed, turn))
+    spark = texts.sparkSession
+    filed, filed_at = blocks(texts, words, similarity)
+    filed, roots = filed.withColumn("root", F.col("node")), None
+    for turn in range(STAR_TURNS + 1):
+        more = compare(block_pairs(filed, turn, similarity))
         if turn and more.isEmpty():
-            delete(nodes.sparkSession, filed_at)
-            return roots
+            continue
         roots, _ = save(connected_components(stars(roots).unionByName(more) if turn else more), "roots")
-        now = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("k")
-        after, after_at = save(now.join(mixed, "k"), "mixed-bands")
-        delete(nodes.sparkSession, filed_at)
-        filed, filed_at, turn = after, after_at, turn + 1
-
-
-def fingerprint_pairs(each: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes within 3 differing bits that no links join yet, by pigeonring; equal fingerprints too."""
-    named = each.select("fp", "node").distinct().join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
-    owners, _ = save(named, "owners")
-    prints = owners.select("fp").distinct()
-    met, _ = save(links(prints).unionByName(owners.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))), "print-pairs")
-    one = met.join(owners.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("root").alias("ra")), "a")
-    other = owners.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("root").alias("rb"))
-    apart = one.join(other, (one["b"] == other["b"]) & (F.col("ra") != F.col("rb")))
-    return apart.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have this similarity, compared shingle by shingle.
-
-    ``nodes`` is (node, text key), ``texts`` (text key, text).
-    """
+        if turn < STAR_TURNS:
+            now = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = now.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("k")
+            after, after_at = save(now.join(mixed, "k"), "mixed-blocks")
+            delete(spark, filed_at)
+            filed, filed_at = after, after_at
+    delete(spark, filed_at)
+    return roots
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have this similarity, compared shingle by shingle. ``texts`` is (node, t)."""
     met, met_at = save(pairs, "asked")
-    wanted = nodes.select("node", "_t1", "_t2").join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(), "node", "left_semi")
-    held, held_at = save(texts.join(wanted, ["_t1", "_t2"]).select("node", "_t").dropDuplicates(["node"]), "asked-texts")
+    held = texts.select("node", "_t").join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(), "node", "left_semi")
     both = met.join(held.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
 
     def run(batches: Iterator) -> Iterator:
@@ -250,9 +270,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
             found = [similarity_of(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    out, _ = save(both.select("a", "b", F.col("_ta").cast("binary"), F.col("_tb").cast("binary")).mapInArrow(run, "a bigint, b bigint"), "alike")
-    for at in (met_at, held_at):
-        delete(nodes.sparkSession, at)
+    out, _ = save(both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a bigint, b bigint"), "alike")
+    delete(texts.sparkSession, met_at)
     return out
 
 
@@ -262,22 +281,22 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Similarity is that of Jaccard over the sets of shingles of ``words`` words,
     taken as in ``near_duplicates``; texts without words are alike. Equal sets
     are one node before any link is sought (told by 64-bit hashes, as shingles
-    are), so groups of copies cost one row. Candidates come from bands of least
-    hashes and, where those join nothing yet, from fingerprints within 3 bits;
-    each is compared exactly, so all links hold. Returns id, fp long and
+    are), so groups of copies cost one row. Candidates are all pairs that share
+    a shingle of their prefixes and that no links join yet; each is compared
+    exactly, so all links hold and none is missed. Returns id, fp long and
     component_id, the smallest id reachable (null if no row of the component
     has an id), one row for each input row; a null text counts as empty, equal
     rows are treated alike, an empty table gives no rows. Other columns are not
     read.
     """
     each, _ = save(profiles(docs, id_col, text_col, words), "profiles")
-    first = F.min(F.struct("_t1", "_t2", "fp", "_mins")).alias("_f")
+    first = F.min(F.struct("_t1", "_t2", "n")).alias("_f")
     nodes, _ = save(each.groupBy("node").agg(F.min("_out").alias("_least"), first).select("node", "_least", "_f.*"), "nodes")
     text = text_of(text_col)
     texts = docs.select(*text_key(text), text.alias("_t"))
-    compare = lambda pairs: alike(pairs, nodes, texts, words, similarity)
-    roots = band_roots(nodes, compare)
-    roots = connected_components(stars(roots).unionByName(compare(fingerprint_pairs(each, roots))))
+    held, held_at = save(texts.join(nodes.where("n > 0").select("node", "n", "_t1", "_t2"), ["_t1", "_t2"]).dropDuplicates(["node"]).select("node", "n", F.col("_t").cast("binary").alias("_t")), "node-texts")
+    roots = block_roots(held, words, similarity, lambda pairs: alike(pairs, held, words, similarity))
+    delete(docs.sparkSession, held_at)
     joined, _ = save(nodes.select("node", "_least").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")), "named")
     least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return each.join(joined.join(least, "_root").select("node", "component_id"), "node").select(F.col("_out").alias(id_col), "fp", "component_id")
