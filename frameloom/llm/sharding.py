@@ -74,10 +74,7 @@ def write_shards(dealt: DataFrame, path: str) -> None:
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
-    """The contract's columns: only ids, sizes and checksums travel through the shuffle."""
+    """The contract's columns, of the whole rows that the shuffle returns."""
     text = text_of("text")
-    slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text"))
-    bytes_each = kw.pop("row_bytes", 64)
-    kw.setdefault("bucket_bytes", 32 << 20)
-    out = external_shuffle(slim, bucket_bytes=max(1, kw.pop("bucket_bytes") // bytes_each) * 20, **kw)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    return external_shuffle(docs, **kw).select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
