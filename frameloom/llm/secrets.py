@@ -20,8 +20,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Candidates that are no secrets: words of letters alone (with hyphens or slashes), UUIDs, digits alone, rulers, and values that say they are placeholders.
 ALLOWED = r"^(?:[A-Za-z]?[a-z]*+(?:[-/_=+]++[A-Za-z]?[a-z]*+)*+|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9+/_=-]*+)$|(?i:example|placeholder|changeme|dummy)"
-#: Character class: its pattern and the bits a character that its windows reach in a secret.
-CLASSES = {"hex": (r"^[0-9a-fA-F]++$", 3.2), "base64": (r"^[A-Za-z0-9+/_=-]++$", 3.9)}
+#: Character class, the smallest first: its pattern and the bits a character that its windows reach in a secret. Each bound is
+#: just under what 99% of random 20-character strings of the class reach (60,000 simulated for each of 16, 22, 26, 36, 52 and 62 symbols).
+CLASSES = {
+    "hex": (r"^(?:[0-9a-f]++|[0-9A-F]++)$", 2.9), "mixed hex": (r"^[0-9a-fA-F]++$", 3.1), "capitals": (r"^[A-Z+/_=-]++$", 3.2),
+    "one case": (r"^(?:[0-9a-z+/_=-]++|[0-9A-Z+/_=-]++)$", 3.4), "letters": (r"^[A-Za-z+/_=-]++$", 3.55), "base64": (r"^[A-Za-z0-9+/_=-]++$", 3.6),
+}
 
 
 def entropy_columns(window: int) -> str:
