@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, save
+from .common import save
 
 #: What a word keeps of a token: letters and digits, lower-cased.
 _WORDS = re.compile(r"[^\W_]+")
@@ -57,12 +57,15 @@ def best_match(pattern: dict[str, int], m: int, text: list[str]) -> tuple[int, i
 
 
 class Matcher:
-    """Test items with their pieces; ``scan`` finds the items that a text holds."""
+    """Test items with their pieces; ``scan`` finds the items that a text holds.
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_words: int):
-        self.items = {}
+    Items are told apart by their place, so rows of equal or null ids are each sought.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_words: int):
+        self.items, self.ids = {}, [item for item, _ in items]
         self.start: dict[str, dict[tuple[str, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             words = words_of(text)
             if len(words) < min_words:
                 continue
@@ -95,7 +98,7 @@ class Matcher:
                     edits, end = best_match(masks, m, words[a:b])
                     if edits <= k and (item not in found or edits < found[item][0]):
                         found[item] = (edits, max(0, a + end - m), a + end)
-        return [(item, *x) for item, x in found.items()]
+        return [(self.ids[item], *x) for item, x in found.items()]
 
 
 def contamination(
@@ -113,20 +116,20 @@ def contamination(
     what an executor holds has a bound however large the benchmark grows.
 
     Returns id, item_id, edits, start_word, end_word: one row for each row and
-    item found. Items under ``min_words`` words (null ones too) are in no
+    distinct row of the benchmark found. Items under ``min_words`` words (null ones too) are in no
     document, and null or empty texts hold none; a null item id stays null.
     Repeated rows are reported each; empty tables give no rows.
     """
     items, _ = save(
         benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text).cast("string").alias("_text"))
-        .where(F.length("_text") > 0), "items")
+        .where(F.length("_text") > 0).distinct(), "items")
     n = items.count()
     blocks = max(1, -(-n // block_items))
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     body = docs.select(F.col(id_col).alias("_out"), F.col(text_col).cast("string").alias("_t"))
     results = []
     for b in range(blocks):
-        mine = [(x[0] if x[0] is not None else LAST_ID, x[1]) for x in items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b).select("_item", "_text").collect()]
+        mine = [tuple(x) for x in items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b).select("_item", "_text").collect()]
         shared = spark.sparkContext.broadcast(mine)
 
         def run(batches: Iterator, shared=shared) -> Iterator:
@@ -137,7 +140,7 @@ def contamination(
                 rows = [(i, *x) for i, text in enumerate(batch.column(1)) for x in matcher.scan(words_of(text.as_py()))]
                 at, found = [r[0] for r in rows], list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([None if x == LAST_ID else x for x in found[1]], pa.int64()), *(pa.array(found[c], pa.int32()) for c in (2, 3, 4))],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(found[1], pa.int64()), *(pa.array(found[c], pa.int32()) for c in (2, 3, 4))],
                     names=["_out", "item_id", "edits", "start_word", "end_word"])
 
         results.append(body.mapInArrow(run, f"_out {kind}, item_id bigint, edits int, start_word int, end_word int"))
