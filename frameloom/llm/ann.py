@@ -183,7 +183,7 @@ def search(
 
     sent = wanted.mapInArrow(visit, "c long, v array<double>, b long, go array<long>")
     dealt = leaves.join(F.broadcast(table), "leaf").select((F.col("_first") + F.pmod(F.xxhash64(F.lit(seed), "c"), F.col("_n"))).alias("b"), "leaf", "c", "v")
-    top = k + 8  # products of matrices may differ from those summed in order in the last bits
+    top = k + 1
 
     def score(key, left, right):
         import pandas as pd
@@ -197,9 +197,17 @@ def search(
                 part = right.iloc[start : start + 512]
                 s = np.stack(part["v"].to_numpy()) @ x.T
                 s[~np.stack([np.isin(known, go) for go in part["go"]])[:, at]] = -np.inf
-                best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                found = pd.DataFrame({"q": np.repeat(part["c"].to_numpy(), m), "c": ids[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()})
-                out.append(found[np.isfinite(found["s"])])
+                # products of matrices may differ from those summed in order in the last bits, so what is near the cut is summed anew
+                y = np.stack(part["v"].to_numpy())
+                near = 4 * np.finfo(float).eps * width * np.sqrt((y * y).sum(axis=1) * (x * x).sum(axis=1).max())
+                row, at_row = np.nonzero((s >= (np.partition(s, -m, axis=1)[:, -m] - near)[:, None]) & np.isfinite(s))
+                exact = np.zeros(len(row))
+                for j in range(width):
+                    exact += y[row, j] * x[at_row, j]
+                order = np.lexsort((ids[at_row], -exact, row))
+                row, at_row, exact = row[order], at_row[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < m
+                out.append(pd.DataFrame({"q": part["c"].to_numpy()[row], "c": ids[at_row], "s": exact})[first])
         return pd.concat(out)
 
     scored = dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInPandas(score, "q long, c long, s double")
