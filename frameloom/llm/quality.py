@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ def statistics(text: Column) -> dict[str, Column]:
     words = F.regexp_count(text, F.lit(WORD))
     some = F.greatest(words, F.lit(1))
     tokens = F.split(lower_ascii(text), r"[\x20\x09-\x0D]+")
+    count = lambda c: F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))
     return {
         "log_chars": F.log1p(F.char_length(text).cast("double")),
         "log_words": F.log1p(words.cast("double")),
@@ -33,9 +36,9 @@ def statistics(text: Column) -> dict[str, Column]:
         "digit": F.regexp_count(text, F.lit(r"[0-9]")) / n,
         "marks": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / n,
         "mark_runs": F.regexp_count(text, F.lit(r"[!#$%&*|?@~^=<>+]{2,}")) / some,
-        "bars": F.regexp_count(text, F.lit(r"[|]")) / some,
-        "stops": F.regexp_count(text, F.lit(r"[.,]")) / some,
-        "lines": F.regexp_count(text, F.lit(r"\n")) / some,
+        "bars": count("|") / some,
+        "stops": (count(".") + count(",")) / some,
+        "lines": count("\n") / some,
     }
 
 
@@ -100,7 +103,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int) -
 def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
     """Logistic weights with an L1 penalty, by accelerated proximal gradient steps."""
     n, k = z.shape
-    step = 4 * n / (np.linalg.norm(np.c_[np.ones(n), z], 2) ** 2)
+    one = np.c_[np.ones(n), z]
+    step = 4 * n / np.linalg.norm(one.T @ one, 2)  # the Gram matrix, of a row for each rule, has the squared singular values
     w, b, v, c, t = np.zeros(k), 0.0, np.zeros(k), 0.0, 1.0
     for _ in range(steps):
         g = 1 / (1 + np.exp(-(z @ v + c))) - y
@@ -121,6 +125,14 @@ class RuleModel:
     rules: list[Rule]
     weights: list[float]
 
+    def to_json(self) -> str:
+        return json.dumps([self.names, self.bias, [[[int(j), bool(above), t] for j, above, t in r.tests] for r in self.rules], self.weights])
+
+    @staticmethod
+    def from_json(told: str) -> RuleModel:
+        names, bias, rules, weights = json.loads(told)
+        return RuleModel(names, bias, [Rule(tuple((j, above, t) for j, above, t in tests)) for tests in rules], weights)
+
     def score(self) -> Column:
         """The model as a column expression over the statistics' columns."""
         total = F.lit(self.bias)
@@ -155,23 +167,32 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, **kw) -> RuleModel:
     """Fits the rules on at most ``sample_rows`` labelled rows that aren't held out, chosen by a hash of the id.
 
-    Only the statistics of the text and the label reach the driver: twelve
-    numbers a row. Rows without a label, an id or a text in ``docs`` are left
-    out of the sample; with both tables empty the score is one half.
+    One task fits them on the sample's statistics and labels, twelve numbers a
+    row; only the rules reach the driver. Rows without a label, an id or a text
+    in ``docs`` are left out of the sample; with both tables empty the score is
+    one half.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     n = usable.count()
     share = F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.95 * sample_rows / max(n, 1)))
     chosen = usable.where(share).limit(sample_rows)
     names = list(statistics(F.col("_t")))
-    rows = (
+    sample = (
         docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
-        .select("_id", "_y", *[c.cast("double").alias(k) for k, c in statistics(F.col("_t")).items()])
-        .limit(2 * sample_rows).collect()
+        .select("_id", F.col("_y").cast("double"), *[c.cast("double").alias(k) for k, c in statistics(F.col("_t")).items()])
+        .limit(2 * sample_rows)
     )
-    rows = sorted(rows, key=tuple)
-    x = np.array([[r[k] for k in names] for r in rows], float).reshape(len(rows), len(names))
-    return fit(x, np.array([r["_y"] for r in rows], float), names, **kw)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = pa.Table.from_batches(list(batches), None) if (batches := [b for b in batches if len(b)]) else None
+        x = np.stack([held.column(k).to_numpy() for k in held.column_names], axis=1) if held else np.zeros((0, len(names) + 2))
+        x = x[np.lexsort(x.T[::-1])]  # the order in which tasks end doesn't matter
+        yield pa.RecordBatch.from_arrays([pa.array([fit(x[:, 2:], x[:, 1], names, **kw).to_json()])], names=["model"])
+
+    told = sample.coalesce(1).mapInArrow(run, "model string").collect()
+    return RuleModel.from_json(told[0]["model"]) if told else fit(np.zeros((0, len(names))), np.zeros(0), names, **kw)
 
 
 def quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
