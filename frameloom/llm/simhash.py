@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +17,10 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Nodes in 16 whose shingles are counted to tell common ones, in so many of them at least, and how many are told; these only order shingles and lose nothing.
 SAMPLE_IN, COMMON_IN, COMMON_MOST = 16, 3, 200_000
-#: Turns that pair blocks by a few of their members before all that is left is paired.
-STAR_TURNS = 3
+#: Least hashes of a set by which it is filed at first, and multipliers (fixed odd numbers) that stand for their orders.
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Parts that a common shingle's block is dealt to, and copies of a text that many are compared with.
+PARTS, COPIES = 4096, 256
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator:
@@ -58,39 +60,57 @@ def distinct(blocks: Iterable):
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
 
 
-def profile(text: bytes | None, words: int) -> tuple[int, int, int]:
-    """The fingerprint, a hash of the set of shingles, and that set's size."""
+def profile(text: bytes | None, words: int) -> tuple[int, int, int, list[int]]:
+    """The fingerprint, a hash of the set of shingles, that set's size, and its least shingles in each of a few orders."""
     import numpy as np
     import xxhash
 
     blocks = list(shingle_hashes(text, words))
     own = distinct(blocks)
-    return fingerprint_of(blocks), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own)
+    least = [int((own * np.uint64(m)).min().view(np.int64)) for m in MIXERS] if len(own) else []
+    return fingerprint_of(blocks), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own), least
 
 
-def prefix(text: bytes | None, words: int, similarity: float, common: tuple) -> list[int]:
-    """The first shingles of a set in an order that all texts share, rare ones first: sets of this similarity have one of them in common.
+def prefix(text: bytes | None, words: int, similarity: float, common: tuple) -> tuple:
+    """The first shingles of a set in an order that all texts share, rare ones first, and which of them are known as common.
 
     Similar sets of n and m shingles share ``similarity`` * n at least, so not
-    all shared ones are behind the first n - ceil(similarity * n) + 1. ``common``
-    is sorted hashes of common shingles and how often they were seen.
+    all shared ones are behind the first n - ceil(similarity * n) + 1: sets of
+    this similarity have one of these in common. ``common`` is sorted hashes of
+    common shingles and how often they were seen.
     """
     import numpy as np
 
     own, (known, seen) = distinct(shingle_hashes(text, words)), common
     if not len(own):
-        return []
+        return own.view(np.int64), np.zeros(0, bool)
     at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
     often = np.where(known[at] == own, seen[at], 0) if len(known) else np.zeros(len(own), np.int64)
     most = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
-    return own[np.lexsort((own, often))[:most]].view(np.int64).tolist()
+    first = np.lexsort((own, often))[:most]
+    return own[first].view(np.int64), often[first] > 0
 
 
-def similarity_of(a: bytes | None, b: bytes | None, words: int) -> float:
-    """Jaccard similarity of two texts' sets of word shingles; texts without words are alike."""
+def gathered(parts: Iterable, columns: int) -> Iterator:
+    """Lists of column arrays joined to fewer of some ``BLOCK`` rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= BLOCK:
+            yield [pa.array(np.concatenate([h[c] for h in held])) for c in range(columns)]
+            held, n = [], 0
+    if held:
+        yield [pa.array(np.concatenate([h[c] for h in held])) for c in range(columns)]
+
+
+def similarity_of(x, y) -> float:
+    """Jaccard similarity of two sorted sets; empty sets are alike."""
     import numpy as np
 
-    x, y = (distinct(shingle_hashes(t, words)) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -110,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text key, fp, node, n) for each row; see ``profile``."""
+    """(id, text key, fp, node, n, least) for each row; see ``profile``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -119,19 +139,32 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
         for batch in batches:
             found = [profile(x.as_py(), words) for x in batch.column(3)]
             made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["_out", "_t1", "_t2", "fp", "node", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, pa.array([f[3] for f in found], pa.list_(pa.int64()))], names=["_out", "_t1", "_t2", "fp", "node", "n", "least"])
 
     text = text_of(text_col)
     told = docs.select(F.col(id_col).alias("_out"), *text_key(text), text.cast("binary").alias("_t"))
-    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, n bigint")
+    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, n bigint, least array<bigint>")
 
 
 def segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
 
 
+def _filed(fps: DataFrame) -> DataFrame:
+    """Each fingerprint under each start of a chain: its segment there and the next one make a key of 32 bits."""
+    keys = [F.struct(F.lit(i).alias("i"), F.shiftleft(segment(F.col("fp"), i), SEGMENT_BITS).bitwiseOR(segment(F.col("fp"), i + 1)).alias("k")) for i in range(SEGMENTS)]
+    return fps.select("*", F.inline(F.array(*keys)))
+
+
+def near_first(fps: DataFrame, within: int = 3) -> DataFrame:
+    """Links (a, b) of fingerprints to the first of those with the same key: at most four each, which join dense groups."""
+    filed = _filed(fps.select("fp"))
+    first = filed.groupBy("i", "k").agg(F.min("fp").alias("a"))
+    return filed.join(first, ["i", "k"]).where(F.col("a") != F.col("fp")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= within).select("a", F.col("fp").alias("b")).distinct()
+
+
 def links(fps: DataFrame, within: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that differ in at most ``within`` = 3 bits.
+    """Pairs (a, b), a < b, of fingerprints of different roots that differ in at most ``within`` = 3 bits. ``fps`` is (fp, root).
 
     Pigeonring: lay the four 16-bit segments in a ring. If all four differ in 3
     bits at most, some segment starts a chain whose first l segments differ in
@@ -139,23 +172,35 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     under each start with its next segment as it is (length 1 and 2 of the
     chain), and looked up with that segment and its 16 one-bit changes; length
     3 of the chain is then tested before the whole distance. The keys have 32
-    bits, so the candidates stay few however many fingerprints there are.
+    bits, so the candidates stay few however many fingerprints there are; a key
+    that only the asking root holds is not entered.
     """
     if within != 3:
         raise ValueError("the chain budgets are those of 3 bits")
-    first = [F.struct(F.lit(i).alias("i"), F.shiftleft(segment(F.col("fp"), i), SEGMENT_BITS).bitwiseOR(segment(F.col("fp"), i + 1)).alias("k")) for i in range(SEGMENTS)]
-    filed = fps.select("fp", F.inline(F.array(*first)))
+    filed = _filed(fps.select("fp", "root"))
     changes = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(SEGMENT_BITS)])
-    asked = filed.select(F.col("fp").alias("b"), "i", F.explode(F.transform(changes, lambda m: F.col("k").bitwiseXOR(m))).alias("k"))
+    asked = filed.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), "i", F.explode(F.transform(changes, lambda m: F.col("k").bitwiseXOR(m))).alias("k"))
+    held = filed.groupBy("i", "k").agg(F.min("root").alias("_least"), F.max("root").alias("_most"))
+    asked = asked.join(held, ["i", "k"]).where("_least <> root_b OR _most <> root_b").drop("_least", "_most")
     a, b = F.col("a"), F.col("b")
     diff = a.bitwiseXOR(b)
     turn = F.expr("((i + 2) % 4) * 16")
     third = F.bit_count(F.call_function("shiftrightunsigned", diff, turn).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
     second = F.bit_count(F.call_function("shiftrightunsigned", diff, F.expr("((i + 1) % 4) * 16")).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
-    met = filed.withColumnRenamed("fp", "a").join(asked, ["i", "k"]).where(a < b).where(second + third <= 2).where(F.bit_count(diff) <= within)
+    met = asked.join(filed.withColumnRenamed("fp", "a"), ["i", "k"]).where("a < b AND root <> root_b").where(second + third <= 2).where(F.bit_count(diff) <= within)
     return met.select("a", "b").distinct()
 
 
+def rooted(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``nodes`` with ``root``, the node itself where no link has joined it."""
+    return nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+
+
+def stars(roots: DataFrame) -> DataFrame:
+    """(node, root) as links, which are contracted in fewer rounds than those they came from."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def common_shingles(texts: DataFrame, words: int) -> tuple:
     """Sorted hashes of shingles that many of a sample of ``texts`` (node, t) hold, and how many."""
     import numpy as np
@@ -164,33 +209,49 @@ def common_shingles(texts: DataFrame, words: int) -> tuple:
         import pyarrow as pa
 
         for batch in batches:
-            for x in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(distinct(shingle_hashes(x.as_py(), words)).view(np.int64))], names=["h"])
+            for held in gathered(([distinct(shingle_hashes(x.as_py(), words)).view(np.int64)] for x in batch.column(1)), 1):
+                yield pa.RecordBatch.from_arrays(held, names=["h"])
 
     some = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(SAMPLE_IN)) == 0).select("node", "_t").mapInArrow(run, "h bigint")
-    rows = some.groupBy("h").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
-    known, seen = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    most = some.groupBy("h").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON_MOST).toArrow()
+    known, seen = (most.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(known.view(np.uint64))
     return known.view(np.uint64)[order], seen[order]
 
 
 def blocks(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, str]:
-    """(node, n, i, k) and where it is written: nodes filed by the shingles of their prefix, i being a shingle's place; see ``prefix``.
+    """(k, node, root, n, i) and where it is written: nodes filed by the shingles of their prefix, i being a shingle's place; see ``prefix``.
 
-    Blocks of one node are left out. ``texts`` is (node, n, t).
+    Blocks whose members have one root are left out. Those of rare shingles are
+    told by a window over their members; a common shingle's block may hold a
+    large part of all nodes, so its members are dealt to parts and its roots are
+    summed up before they are shuffled. ``texts`` is (node, root, n, t).
     """
     shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            found = [prefix(x.as_py(), words, similarity, shared.value) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "_keys"])
+        def file(batch):
+            nodes, roots, sizes = (np.asarray(batch.column(c)) for c in range(3))
+            for r, x in enumerate(batch.column(3)):
+                keys, common = prefix(x.as_py(), words, similarity, shared.value)
+                m = len(keys)
+                # the size and the place are packed, for every shingle of a prefix is moved
+                yield [keys, np.full(m, nodes[r]), np.full(m, roots[r]), (int(sizes[r]) << 32) + np.arange(m), common]
 
-    filed = texts.select("node", "n", "_t").mapInArrow(run, "node bigint, n bigint, _keys array<bigint>").select("node", F.col("n").cast("int").alias("n"), F.posexplode("_keys").alias("i", "k"))
-    of = Window.partitionBy("k")
-    return save(filed.withColumn("_m", F.min("node").over(of)).withColumn("_n", F.max("node").over(of)).where("_m <> _n").drop("_m", "_n"), "blocks")
+        for batch in batches:
+            for held in gathered(file(batch), 5):
+                yield pa.RecordBatch.from_arrays(held, names=["k", "node", "root", "place", "common"])
+
+    filed = texts.select("node", "root", "n", "_t").mapInArrow(run, "k bigint, node bigint, root bigint, place bigint, common boolean")
+    of = Window.partitionBy("k", F.when(F.col("common"), F.pmod("node", F.lit(PARTS))))
+    met, met_at = save(filed.withColumn("_least", F.min("root").over(of)).withColumn("_most", F.max("root").over(of)).where("common OR _least <> _most").drop("_least", "_most"), "met")
+    mixed = met.groupBy("k").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("k")
+    out = save(met.join(mixed, "k").select("k", "node", "root", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("i")), "blocks")
+    delete(texts.sparkSession, met_at)
+    return out
 
 
 def may_be_alike(similarity: float) -> Column:
@@ -202,79 +263,69 @@ def may_be_alike(similarity: float) -> Column:
     return F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) * (1 + similarity) >= (F.col("n") + F.col("n_b")) * F.lit(similarity) - 1e-6
 
 
-def block_pairs(filed: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that may be alike, not of one root.
+def block_pairs(filed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes that meet in a block, may be alike and have different roots. ``filed`` is (k, node, root, n, i)."""
+    other = filed.select("k", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b"))
+    met = filed.join(other, "k").where("root < root_b").where(may_be_alike(similarity))
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
-    On turn 0 members meet the block's first and last one; all blocks agree on
-    the order. Up to ``STAR_TURNS`` members of other roots than the block's most
-    frequent one meet the first of that, in an order of its own. These pairs are
-    linear in the members and join large groups; then all members of different
-    roots meet, so that no pair is left out.
 
-    ``filed`` is (node, n, i, k, root).
-    """
-    by = F.xxhash64(F.lit(SEED), F.lit(turn), "node", *(["k"] if turn else []))
-    other = [F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b")]
-    order = F.struct(by.alias("o"), *other)
-    if not turn:
-        ends = filed.groupBy("k").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
-        met = filed.join(ends, "k").select("node", "n", "i", "root", F.inline(F.array("_first", "_last"))).where("root <> root_b")
-    elif turn < STAR_TURNS:
-        by_root = filed.groupBy("k", "root").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-        tops = by_root.groupBy("k").agg(F.max_by("_first", F.struct("n", "root")).alias("_first"))
-        met = filed.join(tops, "k").select("node", "n", "i", "root", "_first.*").where("root <> root_b")
-    else:
-        met = filed.join(filed.select("k", *other), "k").where("root < root_b")
-    return met.where(may_be_alike(similarity)).select(F.col("node").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def stars(roots: DataFrame) -> DataFrame:
-    """(node, root) as links, which are contracted in fewer rounds than those they came from."""
-    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def block_roots(texts: DataFrame, words: int, similarity: float, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the nodes that links join; ``compare`` keeps the pairs that are links. ``texts`` is (node, n, t).
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have this similarity, compared shingle by shingle. ``texts`` is (node, t).
 
-    Between turns, blocks whose members all have one root are left out. The
-    last turn compares all that differ in root in what blocks are left.
+    A text that many others are compared with is read in up to ``COPIES``
+    places, and once in each: its row stands before those of the others.
     """
     spark = texts.sparkSession
-    filed, filed_at = blocks(texts, words, similarity)
-    filed, roots = filed.withColumn("root", F.col("node")), None
-    for turn in range(STAR_TURNS + 1):
-        more = compare(block_pairs(filed, turn, similarity))
-        if turn and more.isEmpty():
-            continue
-        roots, _ = save(connected_components(stars(roots).unionByName(more) if turn else more), "roots")
-        if turn < STAR_TURNS:
-            now = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = now.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("k")
-            after, after_at = save(now.join(mixed, "k"), "mixed-blocks")
-            delete(spark, filed_at)
-            filed, filed_at = after, after_at
-    delete(spark, filed_at)
-    return roots
-
-
-def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have this similarity, compared shingle by shingle. ``texts`` is (node, t)."""
-    met, met_at = save(pairs, "asked")
-    held = texts.select("node", "_t").join(met.select(F.col("a").alias("node")).union(met.select("b")).distinct(), "node", "left_semi")
-    both = met.join(held.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a").join(held.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
+    met, met_at = save(pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(COPIES))), "asked")
+    held = texts.select("node", "_t")
+    heads = met.select("a", "_part").distinct().join(held.withColumnRenamed("node", "a"), "a").select("a", "_part", F.lit(None).cast("bigint").alias("b"), "_t")
+    others = met.join(held.withColumnRenamed("node", "b"), "b").select("a", "_part", "b", "_t")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        head, own = None, None
         for batch in batches:
-            found = [similarity_of(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
-
-    out, _ = save(both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a bigint, b bigint"), "alike")
-    delete(texts.sparkSession, met_at)
+            out = [], []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = distinct(shingle_hashes(text.as_py(), words))
+                if b is None:
+                    head, own = a, found
+                elif head != a:
+                    raise ValueError("a text has no row of its own")
+                elif similarity_of(own, found) >= similarity:
+                    out[0].append(a), out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    together = heads.unionByName(others).repartition(parts, "a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
+    out, _ = save(together.select("a", "b", "_t").mapInArrow(run, "a bigint, b bigint"), "alike")
+    delete(spark, met_at)
     return out
 
 
+def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that links of this similarity join. ``nodes`` is (node, fp, least), ``texts`` (node, n, t).
+
+    At first each node meets the first one of those with its fingerprint's
+    segments (by the pigeonring's keys) and with each of its least shingles, a
+    few in all, which joins large groups of near copies. Then all nodes of
+    different roots that share a shingle of their prefixes meet, so that no link
+    is left out. Every pair is compared exactly.
+    """
+    filed = nodes.select("node", F.posexplode("least").alias("i", "k"))
+    first = filed.groupBy("i", "k").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("_f"))
+    met = filed.join(first, ["i", "k"]).where("_f.node <> node").select(F.col("_f.node").alias("a"), F.col("node").alias("b"))
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = near_first(by_fp).join(by_fp.withColumnRenamed("fp", "a").withColumnRenamed("node", "_a"), "a").join(by_fp.withColumnRenamed("fp", "b").withColumnRenamed("node", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    roots, _ = save(connected_components(alike(met.unionByName(near).distinct(), texts, words, similarity)), "roots")
+    filed, filed_at = blocks(rooted(texts, roots, "node"), words, similarity)
+    more = alike(block_pairs(filed, similarity), texts, words, similarity)
+    delete(texts.sparkSession, filed_at)
+    return roots if more.isEmpty() else save(connected_components(stars(roots).unionByName(more)), "roots")[0]
+
+
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each row's fingerprint and component: what is reachable by links of texts of this similarity or more.
 
@@ -290,16 +341,19 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read.
     """
     each, _ = save(profiles(docs, id_col, text_col, words), "profiles")
-    first = F.min(F.struct("_t1", "_t2", "n")).alias("_f")
-    nodes, _ = save(each.groupBy("node").agg(F.min("_out").alias("_least"), first).select("node", "_least", "_f.*"), "nodes")
+    first = F.min(F.struct("_t1", "_t2", "n", "fp", "least")).alias("_f")
+    nodes, nodes_at = save(each.groupBy("node").agg(F.min("_out").alias("_least"), first).select("node", "_least", "_f.*"), "nodes")
+    some = nodes.where("n > 0")
     text = text_of(text_col)
-    texts = docs.select(*text_key(text), text.alias("_t"))
-    held, held_at = save(texts.join(nodes.where("n > 0").select("node", "n", "_t1", "_t2"), ["_t1", "_t2"]).dropDuplicates(["node"]).select("node", "n", F.col("_t").cast("binary").alias("_t")), "node-texts")
-    roots = block_roots(held, words, similarity, lambda pairs: alike(pairs, held, words, similarity))
+    # whole texts are not shuffled: a row that stands for its node is told by its text's key
+    texts = docs.select(*text_key(text), text.alias("_t")).join(some.select("node", "n", "_t1", "_t2"), ["_t1", "_t2"])
+    held, held_at = save(texts.dropDuplicates(["node"]).select("node", "n", F.col("_t").cast("binary").alias("_t")), "node-texts")
+    roots = similar_roots(some.select("node", "fp", "least"), held, words, similarity)
     delete(docs.sparkSession, held_at)
-    joined, _ = save(nodes.select("node", "_least").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")), "named")
-    least = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return each.join(joined.join(least, "_root").select("node", "component_id"), "node").select(F.col("_out").alias(id_col), "fp", "component_id")
+    joined, _ = save(rooted(nodes.select("node", "_least"), roots, "node"), "named")
+    delete(docs.sparkSession, nodes_at)
+    least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return each.select("_out", "fp", "node").join(joined.join(least, "root").select("node", "component_id"), "node").select(F.col("_out").alias(id_col), "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -309,17 +363,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``words`` words, repeats included, are hashed; a shorter text is one
     shingle, a null or empty one has fingerprint 0 and links like any other.
     Equal fingerprints are one class before any link is sought, so groups of
-    copies cost one row. Returns id, fp long and component_id, the smallest id
-    reachable (null if no row of the component has an id), one row for each
-    input row; equal rows are treated alike and an empty table gives no rows.
-    Other columns are not read.
+    copies cost one row. Fingerprints first link to representatives of theirs;
+    then all pairs of those still apart that lie within 3 bits are sought, so a
+    dense group has about as many links as members and none is missed. Returns
+    id, fp long and component_id, the smallest id reachable (null if no row of
+    the component has an id), one row for each input row; equal rows are treated
+    alike and an empty table gives no rows. Other columns are not read.
     """
     each, _ = save(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes, _ = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
-    pairs, _ = save(links(classes.select("fp")), "pairs")
-    roots = connected_components(pairs)
-    joined = classes.select("fp", "_least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp"))
-    linked = joined.where("root IS NOT NULL").groupBy("_root").agg(F.min("_least").alias("_c"))
-    named = joined.join(linked, "_root", "left").select("fp", F.when(F.col("root").isNotNull(), F.col("_c")).otherwise(F.col("_least")).alias("component_id"))
-    named, _ = save(named, "components")
+    classes, classes_at = save(each.groupBy("fp").agg(F.min("_out").alias("_least")), "classes")
+    roots, _ = save(connected_components(near_first(classes)), "roots")
+    apart, apart_at = save(rooted(classes, roots, "fp"), "rooted")
+    pairs, pairs_at = save(links(apart), "pairs")
+    if not pairs.isEmpty():
+        roots, _ = save(connected_components(stars(roots).unionByName(pairs)), "roots")
+        apart = rooted(classes, roots, "fp")
+    named, _ = save(apart.join(apart.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("fp", "component_id"), "components")
+    for at in (classes_at, apart_at, pairs_at):
+        delete(docs.sparkSession, at)
     return each.join(named, "fp").select(F.col("_out").alias(id_col), "fp", "component_id")
