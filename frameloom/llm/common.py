@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,25 @@ def save(df: DataFrame, tag: str, partition_by: str | None = None) -> tuple[Data
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def save_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> tuple[DataFrame, str, str]:
+    """Write a table in buckets of ``key`` to the shared folder, so that later joins on it don't move it. Returns it with its name and path."""
+    spark = df.sparkSession
+    name, path = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}", new_path(spark, tag)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name), name, path
+
+
+def drop_bucketed(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(spark, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver forget what nothing refers to any more: Spark then deletes the shuffle files of jobs that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, UPPER.lower())

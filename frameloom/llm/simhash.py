@@ -8,7 +8,7 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, save, text_key, text_of
+from .common import delete, drop_bucketed, save, save_bucketed, text_key, text_of, tidy
 from .graph import connected_components
 
 #: Words at a time, so that a very long text needs no more memory than this many shingles.
@@ -246,8 +246,11 @@ def blocks(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays(held, names=["k", "node", "root", "place", "common"])
 
     filed = texts.select("node", "root", "n", "_t").mapInArrow(run, "k bigint, node bigint, root bigint, place bigint, common boolean")
-    of = Window.partitionBy("k", F.when(F.col("common"), F.pmod("node", F.lit(PARTS))))
-    met, met_at = save(filed.withColumn("_least", F.min("root").over(of)).withColumn("_most", F.max("root").over(of)).where("common OR _least <> _most").drop("_least", "_most"), "met")
+    of = Window.partitionBy("k", "_part")
+    dealt = filed.withColumn("_part", F.when(F.col("common"), F.pmod("node", F.lit(PARTS)).cast("int")))
+    ends = dealt.select("*", F.min("root").over(of).alias("_least"), F.max("root").over(of).alias("_most"))
+    met, met_at = save(ends.where("common OR _least <> _most").drop("_least", "_most", "_part"), "met")
+    tidy(texts.sparkSession)
     mixed = met.groupBy("k").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("k")
     out = save(met.join(mixed, "k").select("k", "node", "root", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("i")), "blocks")
     delete(texts.sparkSession, met_at)
@@ -320,9 +323,11 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = near_first(by_fp).join(by_fp.withColumnRenamed("fp", "a").withColumnRenamed("node", "_a"), "a").join(by_fp.withColumnRenamed("fp", "b").withColumnRenamed("node", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     roots, _ = save(connected_components(alike(met.unionByName(near).distinct(), texts, words, similarity)), "roots")
+    tidy(texts.sparkSession)
     filed, filed_at = blocks(rooted(texts, roots, "node"), words, similarity)
     more = alike(block_pairs(filed, similarity), texts, words, similarity)
     delete(texts.sparkSession, filed_at)
+    tidy(texts.sparkSession)
     return roots if more.isEmpty() else save(connected_components(stars(roots).unionByName(more)), "roots")[0]
 
 
@@ -340,20 +345,27 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows are treated alike, an empty table gives no rows. Other columns are not
     read.
     """
-    each, _ = save(profiles(docs, id_col, text_col, words), "profiles")
+    spark = docs.sparkSession
+    each, each_at = save(profiles(docs, id_col, text_col, words).withColumnRenamed("node", "set"), "profiles")
+    # a node goes by the key of the text that stands for it, so texts meet their nodes, and later roots, where they are
     first = F.min(F.struct("_t1", "_t2", "n", "fp", "least")).alias("_f")
-    nodes, nodes_at = save(each.groupBy("node").agg(F.min("_out").alias("_least"), first).select("node", "_least", "_f.*"), "nodes")
+    nodes, nodes_at = save(each.groupBy("set").agg(F.min("_out").alias("_least"), first).select("set", "_least", F.col("_f._t1").alias("node"), "_f.n", "_f.fp", "_f.least"), "nodes")
     some = nodes.where("n > 0")
     text = text_of(text_col)
-    # whole texts are not shuffled: a row that stands for its node is told by its text's key
-    texts = docs.select(*text_key(text), text.alias("_t")).join(some.select("node", "n", "_t1", "_t2"), ["_t1", "_t2"])
-    held, held_at = save(texts.dropDuplicates(["node"]).select("node", "n", F.col("_t").cast("binary").alias("_t")), "node-texts")
+    key, _ = text_key(text)
+    # copies are dropped before texts are shuffled, which they are once
+    texts = docs.select(key.alias("node"), text.cast("binary").alias("_t")).groupBy("node").agg(F.first("_t").alias("_t")).join(some.select("node", "n"), "node")
+    held, held_name, held_at = save_bucketed(texts, "node-texts", "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tidy(spark)
     roots = similar_roots(some.select("node", "fp", "least"), held, words, similarity)
-    delete(docs.sparkSession, held_at)
-    joined, _ = save(rooted(nodes.select("node", "_least"), roots, "node"), "named")
-    delete(docs.sparkSession, nodes_at)
+    drop_bucketed(spark, held_name, held_at)
+    joined, _ = save(rooted(nodes.select("set", "node", "_least"), roots, "node"), "named")
+    delete(spark, nodes_at)
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return each.select("_out", "fp", "node").join(joined.join(least, "root").select("node", "component_id"), "node").select(F.col("_out").alias(id_col), "fp", "component_id")
+    named = joined.join(least, "root").select("set", "component_id")
+    out, _ = save(each.select("_out", "fp", "set").join(named, "set").select(F.col("_out").alias(id_col), "fp", "component_id"), "similar")
+    delete(spark, each_at)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
