@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, text_of
+from .common import id_of, new_path, text_of
 
 MAX_PARTITIONS = 20_000
 
@@ -21,60 +21,65 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_b
 
     Law ``key``: the seeded hashes of id and shard decide (rendezvous). Pass one
     scatters a shard's rows by another seeded hash into buckets of about
-    ``bucket_bytes``; their number follows the bytes of the input. Pass two puts
-    a bucket into a canonical order, shuffles it (Spark's seeded ``shuffle`` is
-    a Fisher-Yates shuffle) and numbers the rows behind those of the shard's
+    ``bucket_bytes``; their number follows the shard's own bytes, so a shard
+    that an often repeated id swells has more of them. Pass two puts a bucket
+    into a canonical order, shuffles it (Spark's seeded ``shuffle`` is a
+    Fisher-Yates shuffle) and numbers the rows behind those of the shard's
     earlier buckets. The same input, seed and sizes give the same slots: the
     generator is seeded by the partition, which the bucket's number decides.
 
     Returns all columns of the input with shard int, slot long (gapless from 0
     in its shard) and grown_shard int (the shard if there were one more). A
-    column of the input with one of these names is replaced. A null id is a key
-    like any other; equal rows each get a slot; an empty table gives none.
+    column of the input with one of these names, in capitals or not, is
+    replaced; columns of any type are kept, maps too. A null id is a key like
+    any other; equal rows each get a slot (rows that are equal as a whole share
+    a bucket); an empty table gives none.
     """
-    own = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    text = text_of(text_col)
-    size = F.octet_length(text) + 1
-    total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    key = id_of(id_col)
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot", "grown_shard")]
+    rest = [c for c in own if c not in (id_col, text_col)]
+    text, key = text_of(text_col), id_of(id_col)
+    other = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")  # maps can't be hashed or sorted, their text can
     dealt = (
-        docs.select(F.struct(*[F.col(c) for c in own]).alias("_row"), key.alias("_key"), F.xxhash64(F.lit(seed + 1), key, text).alias("_h"))
+        docs.select(F.struct(*[F.col(c) for c in own]).alias("_row"), key.alias("_key"), F.xxhash64(F.lit(seed + 1), key, text).alias("_h"), other.alias("_o"), (F.octet_length(text) + 1).cast("long").alias("_size"))
         .withColumn("_shard", rendezvous(F.col("_key"), shards, seed))
-        .withColumn("_b", F.col("_shard") * F.lit(per_shard) + F.pmod("_h", F.lit(per_shard)))
     )
-    parts = min(shards * per_shard, MAX_PARTITIONS)
+    held = {r["_shard"]: r["_bytes"] for r in dealt.groupBy("_shard").agg(F.sum("_size").alias("_bytes")).collect()}  # a row a shard
+    most = max(1, MAX_PARTITIONS // shards)
+    buckets_of = [min(most, max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)]
+    first = [sum(buckets_of[:s]) for s in range(shards)]
+    pick = lambda numbers: F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("_shard") + 1)
+    dealt = dealt.withColumn("_b", pick(first) + F.pmod(F.xxhash64(F.lit(seed + 2), "_h", "_o"), pick(buckets_of).cast("long")).cast("int"))
+    order = "array_sort(transform(_keys, (k, i) -> struct(k.h AS h, k.k AS k, k.o AS o, i AS i)))"
     buckets = (
-        dealt.repartition(parts, "_b").groupBy("_b")
-        .agg(F.sort_array(F.collect_list(F.struct("_h", "_key", "_row"))).alias("_rows"))  # bucket_bytes bounds it
-        .sortWithinPartitions("_b")
-        .select("_b", F.shuffle("_rows", seed).alias("_rows"))
+        dealt.repartitionById(sum(buckets_of), "_b").groupBy("_b", "_shard")
+        .agg(F.collect_list("_row").alias("_rows"), F.collect_list(F.struct(F.col("_h").alias("h"), F.col("_key").alias("k"), F.col("_o").alias("o"))).alias("_keys"))  # bucket_bytes bounds both
+        .select("_b", "_shard", "_rows", F.shuffle(F.expr(order), seed).alias("_order"))
     )
-    from pyspark.sql import Window
-
     behind = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy("_b").count().withColumn("_s", F.expr(f"_b div {per_shard}"))
-        .select("_b", F.coalesce(F.sum("count").over(behind), F.lit(0)).alias("_start"))
-    )
-    return (
-        buckets.join(starts, "_b").select("_b", "_start", F.posexplode("_rows").alias("_pos", "_r"))
-        .select(
-            "_r._row.*",
-            F.expr(f"int(_b div {per_shard})").alias("shard"),
-            (F.col("_start") + F.col("_pos")).alias("slot"),
-            rendezvous(F.col("_r._key"), shards + 1, seed).cast("int").alias("grown_shard"),
-        )
-    )
+    starts = dealt.groupBy("_b", F.col("_shard").alias("_s")).count().select("_b", F.coalesce(F.sum("count").over(behind), F.lit(0)).alias("_start"))
+    placed = buckets.join(starts, "_b").select("_shard", "_start", "_rows", F.posexplode("_order").alias("_pos", "_k"))
+    return placed.select(
+        F.expr("_rows[_k.i]").alias("_row"), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).alias("slot"), rendezvous(F.col("_k.k"), shards + 1, seed).cast("int").alias("grown_shard")
+    ).select("_row.*", "shard", "slot", "grown_shard")
 
 
 def write_shards(dealt: DataFrame, path: str) -> None:
-    """One folder a shard, its rows in slot order."""
-    dealt.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder a shard, a file or more for each: the tasks that shuffled a shard's buckets write them, in slot order, without moving a row.
+
+    ``dealt`` is what ``external_shuffle`` returns; a file holds whole buckets.
+    """
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Written shards; an empty table writes none, so the schema is told."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
-    """The contract's columns, of the whole rows that the shuffle returns."""
-    text = text_of("text")
+    """The contract's columns, of the whole rows in the shards that are written."""
+    spark, text = docs.sparkSession, text_of("text")
+    dealt, path = external_shuffle(docs, **kw), new_path(docs.sparkSession, "shards")
+    write_shards(dealt, path)
     size = (F.octet_length(text) + 1).cast("long").alias("size")
-    return external_shuffle(docs, **kw).select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return read_shards(spark, path, dealt.schema).select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
