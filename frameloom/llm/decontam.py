@@ -56,6 +56,34 @@ def best_match(pattern: dict[str, int], m: int, text: list[str]) -> tuple[int, i
     return best, end
 
 
+def begin_of(pattern: dict[str, int], m: int, text: list[str], edits: int) -> int:
+    """How many words at the text's end turn into the pattern by ``edits`` edits; the fewest.
+
+    The same columns run from the end to the front: the pattern's last bit is
+    its first word, and a match must start where the text ends, so a column
+    enters with one more edit.
+    """
+    turned = {w: int(f"{bits:0{m}b}"[::-1], 2) for w, bits in pattern.items()}
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = full, 0, m
+    if score == edits:
+        return 0
+    for j, word in enumerate(reversed(text), 1):
+        eq = turned.get(word, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        rise, fall = down | ~(xh | up) & full, up & xh
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        if score == edits:
+            return j
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | ~(xv | rise) & full, rise & xv
+    return len(text)
+
+
 class Matcher:
     """Test items with their pieces; ``scan`` finds the items that a text holds.
 
@@ -80,7 +108,7 @@ class Matcher:
         self.by_length = {w: (sorted({len(p) for p in found}), dict(found)) for w, found in self.start.items()}
 
     def scan(self, words: list[str]) -> list[tuple[int, int, int, int]]:
-        """(item, edits, first word, end) of each item's best match; the earliest of equals."""
+        """(item, edits, first word, end) of each item's best match; the earliest of equals, and the shortest that ends there."""
         found: dict[int, tuple[int, int, int]] = {}
         done: set[tuple[int, int]] = set()
         heads = self.by_length
@@ -97,13 +125,24 @@ class Matcher:
                     done.add((item, i - offset))
                     edits, end = best_match(masks, m, words[a:b])
                     if edits <= k and (item not in found or edits < found[item][0]):
-                        found[item] = (edits, max(0, a + end - m), a + end)
+                        found[item] = (edits, a + end - begin_of(masks, m, words[a : a + end], edits), a + end)
         return [(self.ids[item], *x) for item, x in found.items()]
 
 
+_built: list = []
+
+
+def _matcher(shared, error_rate: float, min_words: int) -> Matcher:
+    """A block's index; a worker keeps that of the block it met last, with the items that tell it."""
+    items = shared.value
+    if not _built or _built[0] is not items or _built[1:3] != [error_rate, min_words]:
+        _built[:] = [items, error_rate, min_words, Matcher(items, error_rate, min_words)]
+    return _built[3]
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    error_rate: float = 0.2, min_words: int = 5, block_items: int = 20_000,
+    error_rate: float = 0.2, min_words: int = 1, block_items: int = 20_000,
 ) -> DataFrame:
     """Which documents hold which test items, up to an edit budget.
 
@@ -111,12 +150,15 @@ def contamination(
     budget of ``floor(error_rate * m)`` words inserted, left out or replaced; it
     is cut into one piece more than its budget, so a match holds a piece whole.
     Exact hits of pieces are found by looking words up, and each hit's stretch
-    is verified by Myers' bit-parallel distance. The benchmark goes to the
-    executors in blocks of ``block_items`` items, each block in its own pass, so
-    what an executor holds has a bound however large the benchmark grows.
+    is verified by Myers' bit-parallel distance. Items of under 1 / error_rate
+    words have no budget and are found as they are. The benchmark goes to the
+    executors in blocks of ``block_items`` items, each block in its own pass
+    that is written before the next begins, so what the driver and an executor
+    hold has a bound however large the benchmark grows; a worker builds a
+    block's index once.
 
     Returns id, item_id, edits, start_word, end_word: one row for each row and
-    distinct row of the benchmark found. Items under ``min_words`` words (null ones too) are in no
+    distinct row of the benchmark found. Items without words, or of under ``min_words``, are in no
     document, and null or empty texts hold none; a null item id stays null.
     Repeated rows are reported each; empty tables give no rows.
     """
@@ -135,7 +177,7 @@ def contamination(
         def run(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(shared.value, error_rate, min_words)
+            matcher = _matcher(shared, error_rate, min_words)
             for batch in batches:
                 rows = [(i, *x) for i, text in enumerate(batch.column(1)) for x in matcher.scan(words_of(text.as_py()))]
                 at, found = [r[0] for r in rows], list(zip(*rows)) if rows else [()] * 5
@@ -143,7 +185,10 @@ def contamination(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(found[1], pa.int64()), *(pa.array(found[c], pa.int32()) for c in (2, 3, 4))],
                     names=["_out", "item_id", "edits", "start_word", "end_word"])
 
-        results.append(body.mapInArrow(run, f"_out {kind}, item_id bigint, edits int, start_word int, end_word int"))
+        found = body.mapInArrow(run, f"_out {kind}, item_id bigint, edits int, start_word int, end_word int")
+        results.append(save(found, "contamination")[0] if blocks > 1 else found)
+        if blocks > 1:
+            shared.unpersist()
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
