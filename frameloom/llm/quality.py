@@ -135,10 +135,10 @@ class RuleModel:
 
     def score(self) -> Column:
         """The model as a column expression over the statistics' columns."""
-        total = F.lit(self.bias)
-        for rule, w in zip(self.rules, self.weights):
-            total = total + F.when(rule.column(self.names), F.lit(w)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+        terms = [F.lit(self.bias), *(F.when(rule.column(self.names), F.lit(w)).otherwise(F.lit(0.0)) for rule, w in zip(self.rules, self.weights))]
+        while len(terms) > 1:  # added up in pairs, so that the expression is flat
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth: int = 3, penalty: float = 0.0015, seed: int = 5) -> RuleModel:
@@ -200,9 +200,9 @@ def quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col:
 
     Only the text is an input. A null text scores as an empty one, repeated rows
     score alike, an empty table gives no rows. Columns of the input are kept
-    whatever their names, but for one named ``_score``.
+    whatever their names, but for one named ``_score``, in capitals or not.
     """
-    own = [c for c in docs.columns if c != "_score"]
+    own = [c for c in docs.columns if c.lower() != "_score"]
     packed = docs.select(F.struct(*own).alias("_row"), text_of(text_col).alias("_t"))
     stats = packed.select("_row", *[c.cast("double").alias(k) for k, c in statistics(F.col("_t")).items()])
     return stats.select("_row.*", model.score().alias("_score"))

@@ -51,16 +51,17 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_b
     dealt = dealt.withColumn("_b", pick(first) + F.pmod(F.xxhash64(F.lit(seed + 2), "_h", "_o"), pick(buckets_of).cast("long")).cast("int"))
     order = "array_sort(transform(_keys, (k, i) -> struct(k.h AS h, k.k AS k, k.o AS o, i AS i)))"
     buckets = (
-        dealt.repartitionById(sum(buckets_of), "_b").groupBy("_b", "_shard")
+        dealt.repartition(sum(buckets_of), "_b").groupBy("_b", "_shard")
         .agg(F.collect_list("_row").alias("_rows"), F.collect_list(F.struct(F.col("_h").alias("h"), F.col("_key").alias("k"), F.col("_o").alias("o"))).alias("_keys"))  # bucket_bytes bounds both
+        .sortWithinPartitions("_b")
         .select("_b", "_shard", "_rows", F.shuffle(F.expr(order), seed).alias("_order"))
+        .select("_b", "_shard", F.expr("transform(_order, k -> struct(_rows[k.i] AS row, k.k AS key))").alias("_dealt"))  # an exploded row takes its own row along, not the bucket
     )
     behind = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_b", F.col("_shard").alias("_s")).count().select("_b", F.coalesce(F.sum("count").over(behind), F.lit(0)).alias("_start"))
-    placed = buckets.join(starts, "_b").select("_shard", "_start", "_rows", F.posexplode("_order").alias("_pos", "_k"))
+    placed = buckets.join(starts, "_b").select("_shard", "_start", F.posexplode("_dealt").alias("_pos", "_d"))
     return placed.select(
-        F.expr("_rows[_k.i]").alias("_row"), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).alias("slot"), rendezvous(F.col("_k.k"), shards + 1, seed).cast("int").alias("grown_shard")
-    ).select("_row.*", "shard", "slot", "grown_shard")
+        "_d.row.*", F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).alias("slot"), rendezvous(F.col("_d.key"), shards + 1, seed).cast("int").alias("grown_shard"))
 
 
 def write_shards(dealt: DataFrame, path: str) -> None:
