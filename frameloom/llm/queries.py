@@ -53,7 +53,7 @@ def op9_mixing(spark, sf_dir):
 def op10_token_output(spark, sf_dir):
     import public_tokenizers
 
-    return tokens.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return tokens.digest(read(spark, sf_dir, "documents"), f"file://{public_tokenizers.path(TOKENIZER)}", public_tokenizers.PATTERN)
 
 
 def pipeline(spark, sf_dir):

@@ -9,15 +9,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, id_of, new_path
+from .common import LAST_ID, id_of, new_path, save
 
 #: Bytes of text that a worker tokenises at a time (one longer text is taken alone).
 SLICE_BYTES = 12 << 20
 #: A blank behind a space, or a space at the end: there, words can't be tokenised apart.
 _RUNS = r"\x20(?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 HEADER = 16
-#: Indices that an input partition has for its sequences.
-PLACE_BITS = 32
+#: Folder beside the shards that tells how many records there are and how they are dealt.
+INDEX = "_index"
 
 
 class Tokenizer:
@@ -118,18 +118,46 @@ def permute(df: DataFrame, index: str, n: int, key: int, out: str) -> DataFrame:
     return df.withColumn(out, walk).withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(F.raise_error(F.lit("cycle not closed")).cast("long")))
 
 
-def records(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: int, id_col: str, text_col: str) -> DataFrame:
+def ranks_of(spark: SparkSession, path: str) -> dict[bytes, int]:
+    """A vocabulary's tokens and their ids, from any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    data = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bytes(data).splitlines())}
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids of 16 bits are written")
+    return ranks
+
+
+def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_of(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+
+
+def counts(docs: DataFrame, shared, pattern: str, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(part, first, n): how many sequences each input partition has, and the first id in it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        tokenizer, first, n = Tokenizer(shared.value, pattern), None, 0
+        for batch in batches:
+            if first is None and len(batch):
+                first = batch.column(0)[0].as_py()
+            n += sum(-(-len(ids) // length) for ids in tokenizer.texts(batch.column(1)))
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64())], names=["part", "first", "n"])
+
+    return _body(docs, id_col, text_col).mapInArrow(run, "part int, first bigint, n bigint")
+
+
+def records(docs: DataFrame, shared, starts, pattern: str, length: int, pad: int, id_col: str, text_col: str) -> DataFrame:
     """(index, value): each text's tokens cut into records of ``length`` 16-bit ids, the last one padded.
 
     A record starts with its row's id, the sequence's number in its text and how
-    many ids aren't padding (8, 4 and 4 bytes, little-endian). The index packs
-    the input partition and the record's place in it.
+    many ids aren't padding (8, 4 and 4 bytes, little-endian). The index counts
+    all records from 0, without a gap; ``starts`` has that of each partition's
+    first one and how many it has.
     """
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if max(ranks.values()) >= 1 << 16 or pad >= 1 << 16:
-        raise ValueError("ids of 16 bits are written")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary of some 50,000 entries
     width = 2 * length
     fill = pad.to_bytes(2, "little") * length
 
@@ -138,8 +166,8 @@ def records(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: in
         from pyspark import TaskContext
 
         tokenizer = Tokenizer(shared.value, pattern)
-        at = TaskContext.get().partitionId() << PLACE_BITS
-        end = at + (1 << PLACE_BITS)
+        at, n = starts.value.get(TaskContext.get().partitionId(), (0, 0))
+        end = at + n
         for batch in batches:
             value = []
             for row, ids in zip(batch.column(0).to_pylist(), tokenizer.texts(batch.column(1))):
@@ -152,10 +180,10 @@ def records(docs: DataFrame, ranks_path: str, pattern: str, length: int, pad: in
                     at, value = at + len(value), []
             yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(value)), pa.int64()), pa.array(value, pa.binary())], names=["index", "value"])
             at += len(value)
-            if at > end:
-                raise OverflowError("more sequences in a partition than its indices")
+        if at != end:
+            raise ValueError("the partition differs from the one whose sequences were counted")
 
-    return docs.select(id_of(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, "index bigint, value binary")
+    return _body(docs, id_col, text_col).mapInArrow(run, "index bigint, value binary")
 
 
 def write_training_order(
@@ -165,35 +193,56 @@ def write_training_order(
     """Writes every sequence to its place in the training order and returns the folder.
 
     Texts are tokenised whole and cut into sequences of ``length`` ids, the last
-    one padded with ``pad``. Each has an index from the input partition and its
-    place there; a keyed Feistel permutation with cycle-walking of all indices
-    gives its global slot. Ranges of slots are the shards, one file each in the
-    folder ``shard=s``, written in slot order: records of ``16 + 2 * length``
-    bytes and one line feed. So record r of a shard starts at ``r`` times that
-    stride, a reader resumes anywhere by seeking, and a record tells its row.
-    The number of shards follows the bytes of text. Texts are tokenised once, and
-    sequences are moved once.
+    one padded with ``pad``. A first pass counts them, so that all N have an
+    index from 0 to N - 1: input partitions in order of their first id, rows in
+    order of their place there, so in a table that is stored by id the order is
+    that of (id, part) however its files are split. A keyed Feistel permutation
+    of 0 to N - 1 with cycle-walking gives each its global slot. Ranges of slots
+    are the shards, one file each in the folder ``shard=s``, written in slot
+    order by one task: records of ``16 + 2 * length`` bytes and one line feed.
+    So slot g is record ``g % per_shard`` of shard ``g // per_shard``, a reader
+    resumes anywhere by seeking to that many strides, and a record tells its
+    row. ``_index`` holds N, per_shard, the stride and the key.
+
+    Sequences are moved once, straight to their shard's task. Texts are
+    tokenised twice: to keep the ids between the passes would take as much disk
+    as the texts. Only one number for each input partition reaches the driver.
 
     ``docs`` is a table read from files, whose partitions a lost task reads
     again alike. A null or empty text has no sequence; repeated rows have
     sequences of their own; a null id is written as the largest long; an empty
     table writes no shard. Other columns are not read.
     """
-    path = path or new_path(docs.sparkSession, "tokens")
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    made = records(docs, ranks_path, pattern, length, pad, id_col, text_col)
-    n = docs.rdd.getNumPartitions() << PLACE_BITS
-    placed = permute(made, "index", n, key, "slot").withColumn("shard", F.expr(f"slot div {-(-n // shards)}"))
+    if pad >= 1 << 16:
+        raise ValueError("ids of 16 bits are written")
+    spark = docs.sparkSession
+    path = path or new_path(spark, "tokens")
+    shared = spark.sparkContext.broadcast(ranks_of(spark, ranks_path))  # a vocabulary of some 50,000 entries
+    told, _ = save(counts(docs, shared, pattern, length, id_col, text_col), "token-counts")
+    starts, n = {}, 0
+    for r in told.orderBy("first", "part").collect():  # a row for each input partition, which the driver schedules anyway
+        starts[r["part"]], n = (n, r["n"]), n + r["n"]
+    stride = HEADER + 2 * length + 1
+    per_shard = max(1, shard_bytes // stride)
+    shards = max(1, -(-n // per_shard))
+    made = records(docs, shared, spark.sparkContext.broadcast(starts), pattern, length, pad, id_col, text_col)
+    placed = permute(made, "index", max(n, 1), key, "slot").withColumn("shard", F.expr(f"slot div {per_shard}"))
     # the cast keeps the bytes as they are; the text sink writes them and a line feed
     (
         placed.select("shard", "slot", F.col("value").cast("string").alias("value"))
-        .repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+        .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
         .select("value", "shard").write.partitionBy("shard").text(path)
     )
+    index = spark.createDataFrame([(n, per_shard, shards if n else 0, stride, length, key)], "records long, per_shard long, shards long, stride int, length int, key long")
+    index.coalesce(1).write.json(f"{path}/{INDEX}")
     return path
 
 
+def index_of(spark: SparkSession, path: str):
+    """How a written order is laid out: records, per_shard, shards, stride, length and key."""
+    return spark.read.schema("records long, per_shard long, shards long, stride int, length int, key long").json(f"{path}/{INDEX}").first()
+
+
 def read_shards(spark: SparkSession, path: str, length: int = 128) -> DataFrame:
     """(shard, record, id, part, n_tokens, ids) of written shards; ids are 16-bit little-endian numbers.
 
@@ -226,19 +275,12 @@ def read_shards(spark: SparkSession, path: str, length: int = 128) -> DataFrame:
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str, length: int = 128) -> DataFrame:
-    """What the written shards hold, a row for each record; slot counts through all shards."""
+    """What the written shards hold, a row for each record with its global slot."""
     spark = docs.sparkSession
     path = write_training_order(docs, ranks_path, pattern, length=length)
+    index = index_of(spark, path)
     schema = "shard long, record long, id long, part int, n_tokens int, ids binary"
-    if docs.limit(1).count() == 0 or not _has_files(spark, path):
-        rows = spark.createDataFrame([], schema)
-    else:
-        rows = read_shards(spark, path, length)
+    rows = read_shards(spark, path, length) if index["records"] else spark.createDataFrame([], schema)
     return rows.select(
-        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "part", "n_tokens", "shard", "record",
-        (F.col("record") * (HEADER + 2 * length + 1)).alias("start_byte"), F.crc32("ids").alias("ids_crc32"))
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/shard=*")
-    return len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []) > 0
+        F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "part", "n_tokens", (F.col("shard") * index["per_shard"] + F.col("record")).alias("slot"), "shard", "record",
+        (F.col("record") * index["stride"]).alias("start_byte"), F.crc32("ids").alias("ids_crc32"))
