@@ -64,16 +64,37 @@ class LineIndex:
         self.levels = [[]]
 
 
+#: A key that holds more than this share of a batch's lines is told apart, so that its lines needn't meet in one task; at most as many keys can.
+HEAVY = 1 / 1000
+
+
+def dropped_lines(mine: DataFrame, shared: DataFrame, lines: int) -> DataFrame:
+    """Lines of ``mine`` whose key ``shared`` (key, keeper, n) gives to another document.
+
+    At most 1 / HEAVY keys have more than that share of the lines, which bounds
+    what is broadcast; lines of all other keys meet their keeper by a shuffle.
+    """
+    least = max(1, int(lines * HEAVY))
+    heavy = F.broadcast(shared.where(F.col("_n") > least).select(*KEY, "_keeper"))
+    told = mine.join(heavy.withColumnRenamed("_keeper", "_heavy"), KEY, "left")
+    rest = told.where("_heavy IS NULL").drop("_heavy").join(shared.where(F.col("_n") <= least).select(*KEY, "_keeper"), KEY)
+    both = told.where("_heavy IS NOT NULL").withColumnRenamed("_heavy", "_keeper").unionByName(rest)
+    return both.where(F.col("_id") != F.col("_keeper")).select("_id", "_t1", "_t2", "_pos")
+
+
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fan_in: int = 3, buckets: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int | None = None, fan_in: int = 3, buckets: int | None = None,
+    batch_bytes: int = 96 << 20,
 ) -> DataFrame:
     """Drop every line that a document of smaller id holds as well.
 
     A line's key is the line without ASCII white space at its ends and with
     A-Z lower-cased; only keys of ``min_chars`` code points or more count. The
-    documents arrive in ``batches`` of rising id. Each batch reduces its lines
-    to one row a key, looks the keys up in the runs of earlier batches by merge
-    joins, drops what is owned by another document and adds the rest as a run.
+    documents arrive in batches of rising id: as many as there are
+    ``batch_bytes`` of text for each core of the cluster, or ``batches``. Each
+    batch reduces its lines to one row a key, looks the keys up in the runs of
+    earlier batches by merge joins, drops what is owned by another document and
+    adds the rest as a run, if a batch is still to come.
 
     Returns id, kept_text, n_lines, n_dropped, one row for each input row. A
     null or empty text is one empty line. A null id counts as one document
@@ -83,8 +104,11 @@ def line_dedup(
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = docs.select(id_of(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    cuts = body.agg(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    batch = sum((F.when(F.col("_id") > F.lit(c), 1).otherwise(0) for c in cuts or []), F.lit(0))
+    if batches is None:
+        held = body.agg(F.sum(F.octet_length("_t").cast("long"))).first()[0] or 0
+        batches = max(1, -(-held // (batch_bytes * spark.sparkContext.defaultParallelism)))
+    cuts = sorted(set(body.agg(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [])) if batches > 1 else []
+    batch = sum((F.when(F.col("_id") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     lines, lines_at = save(
         body.select("_id", *text_key(F.col("_t")), F.posexplode(F.split(lower_ascii(F.col("_t")), "\n", -1)).alias("_pos", "_line"))
         .withColumn("_line", F.btrim("_line", F.lit(BLANK)))
@@ -94,17 +118,18 @@ def line_dedup(
     )
     index = LineIndex(spark, buckets, fan_in)
     drops = []
-    for b in range(len(cuts or []) + 1):
+    last = len(cuts)
+    for b in range(last + 1):
         mine = lines.where(F.col("_batch") == b)
-        keys = mine.groupBy(*KEY).agg(F.min("_id").alias("_owner"), F.max("_id").alias("_max"))
+        keys = mine.groupBy(*KEY).agg(F.min("_id").alias("_owner"), F.max("_id").alias("_max"), F.count("*").alias("_n"))
         for k, run in enumerate(index.runs()):
             keys = keys.join(run.withColumnRenamed("_owner", f"_o{k}"), KEY, "left")
         earlier = F.coalesce(*[F.col(f"_o{k}") for k in range(len(index.runs()))], F.lit(None).cast("long"))
-        verdict, verdict_at = save(keys.select(*KEY, "_owner", "_max", earlier.alias("_earlier")), "line-verdict")
-        shared = verdict.where(F.col("_earlier").isNotNull() | (F.col("_owner") < F.col("_max"))).select(*KEY, F.coalesce("_earlier", "_owner").alias("_keeper"))
-        found = mine.join(shared, KEY).where(F.col("_id") != F.col("_keeper")).select("_id", "_t1", "_t2", "_pos")
-        drops.append(save(found, "line-drops")[0])
-        index.add(verdict.where("_earlier IS NULL").select(*KEY, "_owner"))
+        verdict, verdict_at = save(keys.select(*KEY, "_owner", "_max", "_n", earlier.alias("_earlier")), "line-verdict")
+        shared = verdict.where(F.col("_earlier").isNotNull() | (F.col("_owner") < F.col("_max"))).select(*KEY, F.coalesce("_earlier", "_owner").alias("_keeper"), "_n")
+        drops.append(save(dropped_lines(mine, shared, mine.count()), "line-drops")[0])
+        if b < last:  # what the last batch would add is never looked up
+            index.add(verdict.where("_earlier IS NULL").select(*KEY, "_owner"))
         delete(spark, verdict_at)
     index.clear()
     delete(spark, lines_at)
