@@ -15,8 +15,8 @@ from .common import save
 
 #: Bound of the sample that the tree is fitted on, in vectors, and of the queries that the visits are calibrated on.
 SAMPLE_VECTORS, CALIBRATION_QUERIES = 20_000, 64
-#: Rows of one block: what a task scores against its queries at a time.
-BLOCK_ROWS = 8_192
+#: Rows of one block, and queries that a task scores on it.
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_096
 
 
 @dataclass
@@ -108,8 +108,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def search(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97,
-    leaf_rows: int = 512, branch: int = 16, max_leaves: int = 1 << 14, seed: int = 11,
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95,
+    leaf_rows: int = 64, branch: int = 16, max_leaves: int = 1 << 14, seed: int = 11,
 ) -> DataFrame:
     """The k nearest rows by inner product to each row whose id is divisible by ``every``.
 
@@ -119,8 +119,9 @@ def search(
     tree best bin first; how many leaves it visits is widened, on a bounded set
     of queries compared with all classes, until the mean recall of that set is
     at least ``recall``. Leaves are laid into blocks of bounded rows, a block
-    meets the queries that visit one of its leaves, scores them on those leaves
-    alone and gives each its best; a query keeps its best candidates of all blocks, whose products are summed anew in a fixed order.
+    meets the queries that visit one of its leaves, in parts of bounded queries,
+    scores them on those leaves alone and gives each its best; a query keeps its
+    best candidates of all blocks, whose products are summed anew in a fixed order.
 
     Returns query_id, rank from 1, vec_id, score (the inner product of the
     original vectors in double precision), nearest first, ties to the smaller
@@ -181,8 +182,12 @@ def search(
                     pa.array([batch.column(0)[i].as_py()] * m, pa.int64()), pa.array([x[i]] * m, pa.list_(pa.float64())), pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.list_(pa.int64()))],
                     names=["c", "v", "b", "go"])
 
-    sent = wanted.mapInArrow(visit, "c long, v array<double>, b long, go array<long>")
+    sent, _ = save(wanted.mapInArrow(visit, "c long, v array<double>, b long, go array<long>"), "visits")
+    # a row for each block that is visited; its rows go to as many tasks as its queries need
+    parts = sent.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK_QUERIES)).cast("long").alias("_parts"))
     dealt = leaves.join(F.broadcast(table), "leaf").select((F.col("_first") + F.pmod(F.xxhash64(F.lit(seed), "c"), F.col("_n"))).alias("b"), "leaf", "c", "v")
+    dealt = dealt.join(parts, "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"), "leaf", "c", "v")
+    asking = sent.join(parts, "b").select("b", F.pmod(F.xxhash64(F.lit(seed), "c"), F.col("_parts")).alias("part"), "c", "v", "go")
     top = k + 1
 
     def score(key, left, right):
@@ -210,7 +215,7 @@ def search(
                 out.append(pd.DataFrame({"q": part["c"].to_numpy()[row], "c": ids[at_row], "s": exact})[first])
         return pd.concat(out)
 
-    scored = dealt.groupBy("b").cogroup(sent.groupBy("b")).applyInPandas(score, "q long, c long, s double")
+    scored = dealt.groupBy("b", "part").cogroup(asking.groupBy("b", "part")).applyInPandas(score, "q long, c long, s double")
     by_query = Window.partitionBy("q").orderBy(F.desc("s"), "c")
     best = scored.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= top).select("q", "c")
     exact = (
