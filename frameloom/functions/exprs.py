@@ -128,8 +128,9 @@ def segment_distance_squared(px, py, ax, ay, bx, by) -> Column:
     return (px - ax - t * dx) * (px - ax - t * dx) + (py - ay - t * dy) * (py - ay - t * dy)
 
 
-def lerp_byte(a, b, t) -> Column:
-    return clamp_byte(half_even(_c(a) + (_c(b) - _c(a)) * _c(t)))
+def blend_byte(old, new, weight) -> Column:
+    """``weight`` of the new value and the rest of the old one."""
+    return clamp_byte(half_even(_c(old) * (1.0 - _c(weight)) + _c(new) * _c(weight)))
 
 
 def bilinear(c00, c10, c01, c11, tx, ty) -> Column:
@@ -152,8 +153,13 @@ def region_match_score(center_distance, diagonal, color_distance, area, other_ar
 
 
 def stroke_match_score(center_distance, ends, diagonal, color_distance, iou, length, other_length) -> Column:
-    size = clamp(F.abs(F.log(_c(length) / _c(other_length))) / 2.2, 0.0, 1.0)
-    return 0.30 * _c(center_distance) / diagonal + 0.25 * _c(ends) / diagonal + 0.20 * _c(color_distance) / 441.67 + 0.15 * (1 - _c(iou)) + 0.10 * size
+    size = clamp(F.abs(F.log((_c(length) + 1) / (_c(other_length) + 1))) / 2.2, 0.0, 1.0)
+    return 0.30 * _c(center_distance) / diagonal + 0.25 * _c(ends) / diagonal + 0.20 * _c(color_distance) / 441.67295593 + 0.15 * (1 - _c(iou)) + 0.10 * size
+
+
+def belongs(predicted: list, fill: list, threshold) -> Column:
+    """Whether a predicted colour is a region's own."""
+    return distance(predicted, fill) <= _c(threshold)
 
 
 def hex_color(r="r", g="g", b="b") -> Column:
@@ -162,7 +168,24 @@ def hex_color(r="r", g="g", b="b") -> Column:
 
 def number_text(v) -> Column:
     """At most three decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.3f", F.bround(_c(v), 3)), r"\.?0+$", "")
+    return F.regexp_replace(F.format_string("%.3f", F.round(_c(v), 3)), r"\.?0+$", "")
+
+
+def extension(path) -> Column:
+    return F.lower(F.regexp_extract(_c(path), r"\.([^./\\]+)$", 1))
+
+
+# The extensions of the formats.
+def is_packed_path(path) -> Column:
+    return extension(path).isin("lvfz", "lvfb", "lvfbz")
+
+
+def is_binary_path(path) -> Column:
+    return extension(path).isin("lvfb", "lvfbz")
+
+
+def is_stroke_path(path) -> Column:
+    return extension(path).isin("lvfs", "lvfsz")
 
 
 def varint_hex(v: str) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .keys import frame
+
+
+def named(by: list[str]) -> str:
+    return ", ".join(f"{c} {'int' if c == 'f' else 'string'}" for c in by)
 
 
 def connected(df: DataFrame, c: str, width: int, height: int, near=K.NEAR4, blank: int | None = None) -> DataFrame:
@@ -13,21 +18,23 @@ def connected(df: DataFrame, c: str, width: int, height: int, near=K.NEAR4, blan
 
     def run(pdf):
         pdf = pdf.sort_values("k")
-        pdf["component"] = K.components(pdf["v"].tolist(), width, height, near, blank)
-        return pdf.loc[pdf["component"] >= 0, ["f", "k", "component"]]
+        pdf["component"] = K.components(pdf["v"].to_numpy(), width, height, near, blank)
+        return pdf.loc[pdf["component"] >= 0, [*by, "k", "component"]]
 
-    return df.select("f", "k", F.col(c).cast("int").alias("v")).groupBy("f").applyInPandas(run, "f int, k int, component int")
+    by = frame(df)
+    return df.select(*by, "k", F.col(c).cast("int").alias("v")).groupBy(*by).applyInPandas(run, f"{named(by)}, k int, component int")
 
 
 def region_table(components: DataFrame, pixel: DataFrame, least: int = 1) -> DataFrame:
     """Regions by area, largest first: (f, z, component, area, cx, cy, l, t, r, b, and the mean colour)."""
     from pyspark.sql import Window
 
-    joined = components.join(pixel.select("f", "k", "x", "y", F.col("b").alias("pb"), F.col("g").alias("pg"), F.col("r").alias("pr")), ["f", "k"])
-    out = joined.groupBy("f", "component").agg(
+    by = frame(pixel)
+    joined = components.join(pixel.select(*by, "k", "x", "y", F.col("b").alias("pb"), F.col("g").alias("pg"), F.col("r").alias("pr")), [*by, "k"])
+    out = joined.groupBy(*by, "component").agg(
         F.count("*").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.min("x").alias("l"), F.min("y").alias("t"),
         (F.max("x") + 1).alias("r"), (F.max("y") + 1).alias("b"), *[F.expr(f"int(bround(avg(p{c}), 0))").alias(f"mean_{c}") for c in "bgr"]).where(F.col("area") >= least)
-    return out.withColumn("z", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("area"), "component")) - 1)
+    return out.withColumn("z", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("area"), "component")) - 1)
 
 
 def hysteresis(df: DataFrame, c: str, thresholds: DataFrame, width: int, height: int) -> DataFrame:
@@ -36,64 +43,45 @@ def hysteresis(df: DataFrame, c: str, thresholds: DataFrame, width: int, height:
     def run(pdf):
         pdf = pdf.sort_values("k")
         high = int(pdf["high"].iloc[0])
-        pdf["edge"] = K.hysteresis(pdf["v"].tolist(), width, height, high, max(8, round(0.42 * high)))
-        return pdf[["f", "k", "x", "y", "edge"]]
+        pdf["edge"] = K.hysteresis(pdf["v"].to_numpy(), width, height, high, max(8, round(0.42 * high)))
+        return pdf[[*by, "k", "x", "y", "edge"]]
 
-    return df.select("f", "k", "x", "y", F.col(c).alias("v")).join(thresholds, "f").groupBy("f").applyInPandas(run, "f int, k int, x int, y int, edge int")
+    by = frame(df)
+    return df.select(*by, "k", "x", "y", F.col(c).alias("v")).join(thresholds, by).groupBy(*by).applyInPandas(run, f"{named(by)}, k int, x int, y int, edge int")
 
 
 def rings(edges: DataFrame, tolerance: float) -> DataFrame:
-    """Each label's largest loop without collinear vertices, and simplified: (f, idx, n_loop, n_ring, n_simple, area)."""
+    """Each component's largest loop without collinear vertices, and simplified: (f, idx, component, n_loop, n_ring, n_simple, area, points)."""
 
     def run(pdf):
         import pandas as pd
 
-        loop = K.largest_loop(list(pdf.sort_values(["y0", "x0", "y1", "x1"])[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
+        loop = K.largest_loop(list(pdf.sort_values(["k", "side"])[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
         ring = K.without_collinear(loop)
         simple = K.simplify_ring(ring, tolerance)
-        return pd.DataFrame([(pdf["f"].iloc[0], pdf["idx"].iloc[0], len(loop), len(ring), len(simple), abs(K.shoelace(loop)), [{"x": x, "y": y} for x, y in simple])],
-                            columns=["f", "idx", "n_loop", "n_ring", "n_simple", "area", "points"])
-
-    return edges.groupBy("f", "idx").applyInPandas(run, "f int, idx int, n_loop int, n_ring int, n_simple int, area double, points array<struct<x:int,y:int>>")
-
-
-def merged(pixel: DataFrame, width: int, height: int, first: int, boundary: int, mean: int) -> DataFrame:
-    """(f, k, component) by ordered unions of similar neighbours."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("k")
-        pdf["component"] = K.merged_regions(list(zip(pdf["b"], pdf["g"], pdf["r"])), width, height, first, boundary, mean)
-        return pdf[["f", "k", "component"]]
+        at = [pdf[c].iloc[0] for c in (*by, "idx", "component")]
+        return pd.DataFrame([(*at, len(loop), len(ring), len(simple), abs(K.shoelace(loop)), [{"x": x, "y": y} for x, y in simple])],
+                            columns=[*by, "idx", "component", "n_loop", "n_ring", "n_simple", "area", "points"])
 
-    return pixel.select("f", "k", "b", "g", "r").groupBy("f").applyInPandas(run, "f int, k int, component int")
+    by = frame(edges)
+    return edges.groupBy(*by, "component").applyInPandas(run, f"{named(by)}, idx int, component int, n_loop int, n_ring int, n_simple int, area double, points array<struct<x:int,y:int>>")
 
 
-def strokes(edges: DataFrame, width: int, height: int, shortest: int, tolerance: float, least_length: float) -> DataFrame:
-    """Polylines of the edge pixels' 8-connected components: (f, z, points, n, length), in scan order of components."""
+def merged(pixel: DataFrame, width: int, height: int, quality: int, palette_size: int) -> DataFrame:
+    """(f, k, component) by ordered unions of similar neighbours, guided by the blurred frame and its means' palette."""
+    from .. import params as P
 
     def run(pdf):
-        import math
-
-        import pandas as pd
+        from .images import gaussian3
 
         pdf = pdf.sort_values("k")
-        label = K.components(pdf["edge"].tolist(), width, height, K.NEAR8, blank=0)
-        groups: dict[int, list[int]] = {}
-        for k, c in enumerate(label):
-            if c >= 0:
-                groups.setdefault(c, []).append(k)
-        rows = []
-        for pixels in groups.values():
-            if len(pixels) < shortest:
-                continue
-            for walk in K.chains(pixels, width, shortest):
-                path = K.simplify([(k % width, k // width) for k in walk], tolerance)
-                length = sum(math.dist(a, b) for a, b in zip(path, path[1:]))
-                if len(path) >= 2 and length >= least_length:
-                    rows.append((pdf["f"].iloc[0], len(rows), [{"x": x, "y": y} for x, y in path], len(path), length))
-        return pd.DataFrame(rows, columns=["f", "z", "points", "n", "length"])
-
-    return edges.groupBy("f").applyInPandas(run, "f int, z int, points array<struct<x:int,y:int>>, n int, length double")
+        bgr = pdf[["b", "g", "r"]].to_numpy()
+        guide = gaussian3(bgr.reshape(height, width, 3).astype("uint8")).reshape(-1, 3)
+        pdf["component"] = K.merged_regions(bgr, guide, width, height, quality, palette_size, P.min_region_area(quality, width, height))
+        return pdf[[*by, "k", "component"]]
+
+    by = frame(pixel)
+    return pixel.select(*by, "k", "b", "g", "r").groupBy(*by).applyInPandas(run, f"{named(by)}, k int, component int")
 
 
 def track_regions(regions: DataFrame, width: int, height: int, video: str = "video", most: float = 0.34) -> DataFrame:

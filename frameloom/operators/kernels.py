@@ -9,39 +9,58 @@ NEAR4 = ((1, 0), (-1, 0), (0, 1), (0, -1))
 NEAR8 = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy)
 
 
-def components(labels: list[int], width: int, height: int, near=NEAR4, blank: int | None = None) -> list[int]:
+def joined(n: int, u, v):
+    """The least number that links u-v (arrays) connect each of 0 to n - 1 to: links hook roots to smaller ones, then paths are halved."""
+    import numpy as np
+
+    parent = np.arange(n)
+    while len(u):
+        a, b = parent[u], parent[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return parent
+
+
+def neighbours(width: int, height: int, near):
+    """Pairs of pixel numbers next to each other, each once: (earlier, later) by pixel, then by way."""
+    import numpy as np
+
+    k = np.arange(width * height).reshape(height, width)
+    pairs = []
+    for dx, dy in near:
+        if dy > 0 or (dy == 0 and dx > 0):
+            one = k[: height - dy, max(0, -dx) : width - max(0, dx)]
+            two = k[dy:, max(0, dx) : width + min(0, dx)]
+            pairs.append((one.ravel(), two.ravel()))
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def components(labels, width: int, height: int, near=NEAR4, blank: int | None = None):
     """Each pixel's component: the least pixel number that equal labels connect it to; -1 where the label is ``blank``."""
-    out = [-1] * len(labels)
-    for start, label in enumerate(labels):
-        if out[start] >= 0 or label == blank:
-            continue
-        out[start], todo = start, [start]
-        while todo:
-            k = todo.pop()
-            y, x = divmod(k, width)
-            for dx, dy in near:
-                if 0 <= x + dx < width and 0 <= y + dy < height:
-                    n = k + dy * width + dx
-                    if out[n] < 0 and labels[n] == label:
-                        out[n] = start
-                        todo.append(n)
-    return out
+    import numpy as np
+
+    labels = np.asarray(labels)
+    u, v = neighbours(width, height, near)
+    same = labels[u] == labels[v]
+    out = joined(len(labels), u[same], v[same])
+    return out if blank is None else np.where(labels == blank, -1, out)
 
 
-def hysteresis(values: list[int], width: int, height: int, high: int, low: int) -> list[int]:
+def hysteresis(values, width: int, height: int, high: int, low: int):
     """Pixels at or above ``high``, grown through neighbours at or above ``low`` that aren't at the border."""
-    out = [int(v >= high) for v in values]
-    todo = deque(k for k, v in enumerate(out) if v)
-    while todo:
-        y, x = divmod(todo.popleft(), width)
-        for dx, dy in NEAR8:
-            nx, ny = x + dx, y + dy
-            if 0 < nx < width - 1 and 0 < ny < height - 1:
-                n = ny * width + nx
-                if not out[n] and values[n] >= low:
-                    out[n] = 1
-                    todo.append(n)
-    return out
+    import numpy as np
+
+    values = np.asarray(values)
+    x, y = np.arange(len(values)) % width, np.arange(len(values)) // width
+    seed = values >= high
+    open_ = seed | ((values >= low) & (x > 0) & (y > 0) & (x < width - 1) & (y < height - 1))
+    found = components(open_.astype(int), width, height, NEAR8, blank=0)
+    held = np.zeros(len(values) + 1, bool)
+    held[found[seed]] = True
+    return (open_ & held[found]).astype(int)
 
 
 def shoelace(ring) -> float:
@@ -132,34 +151,92 @@ class DisjointSet:
         return a
 
 
-def merged_regions(pixels, width: int, height: int, first: int, boundary: int, mean: int) -> list[int]:
-    """Regions by ordered unions of neighbours, right then below, in pixel order.
+def merged_regions(pixels, guide, width: int, height: int, quality: int, palette_size: int, min_area: float):
+    """Regions by three passes of unions of neighbours. Returns each pixel's region as its least pixel number.
 
-    Pass one joins pixels within ``first``; pass two joins regions whose
-    touching pixels are within ``boundary`` and whose means are within
-    ``mean``. Returns each pixel's region as its least pixel number.
+    Pass one joins pixels of about one colour, in any order. Pass two joins, in
+    order of pixels, left before above, regions whose touching pixels of the
+    blurred ``guide`` and whose means are near. Pass three joins those of one
+    colour of the means' palette: both near it, near each other (large ones
+    nearer) and with like touching pixels in guide and source. ``pixels`` and
+    ``guide`` are arrays of b, g, r.
     """
-    n, sets = width * height, DisjointSet(width * height)
-    near = lambda a, b, t: sum((u - v) ** 2 for u, v in zip(a, b)) <= t * t
-    pairs = [(k, k + d) for k in range(n) for d, ok in ((1, k % width < width - 1), (width, k < n - width)) if ok]
-    for a, b in pairs:
-        if near(pixels[a], pixels[b], first):
-            sets.union(a, b)
-    total = [[0, 0, 0, 0] for _ in range(n)]
-    for k, p in enumerate(pixels):
-        t = total[sets.find(k)]
-        t[0] += 1
-        for c in range(3):
-            t[c + 1] += p[c]
-    for a, b in pairs:
-        ra, rb = sets.find(a), sets.find(b)
-        if ra == rb or not near(pixels[a], pixels[b], boundary):
+    import numpy as np
+
+    from .. import params as P
+    from .palette import mean_palette, nearest_rows
+
+    x, blurred = np.asarray(pixels, np.int64), np.asarray(guide, np.int64)
+    n = width * height
+    later, earlier = np.arange(n), np.arange(n)
+    u = np.concatenate([later[later % width > 0], later[later >= width]])
+    v = np.concatenate([earlier[later % width > 0] - 1, earlier[later >= width] - width])
+    order = np.lexsort((u - v, u))  # by pixel, left before above
+    u, v = u[order], v[order]
+    gap = lambda a: ((a[u] - a[v]) ** 2).sum(axis=1)
+    raw, soft = gap(x), gap(blurred)
+    near = raw <= P.neighbor_merge(quality) ** 2
+    first = joined(n, u[near], v[near])
+    sets, count = DisjointSet(n), np.bincount(first, minlength=n).tolist()
+    sets.parent = first.tolist()
+    total = [np.bincount(first, x[:, c], n).tolist() for c in range(3)]
+
+    def apart(a, b):
+        return sum((t[a] / count[a] - t[b] / count[b]) ** 2 for t in total)
+
+    def merge(a, b):
+        keep = sets.union(a, b)
+        gone = b if keep == a else a
+        count[keep], count[gone] = count[a] + count[b], 0
+        for t in total:
+            t[keep], t[gone] = t[a] + t[b], 0
+        return keep, gone
+
+    most = P.blurred_region(quality) ** 2
+    touch = (first[u] != first[v]) & (soft <= P.blurred_boundary(quality) ** 2)
+    for p, q in zip(u[touch].tolist(), v[touch].tolist()):
+        a, b = sets.find(p), sets.find(q)
+        if a != b and apart(a, b) <= most:
+            merge(a, b)
+
+    now = np.array([sets.find(k) for k in range(n)])
+    roots = np.unique(now)
+    sizes = np.bincount(now, minlength=n)[roots]
+    means = np.stack([np.bincount(now, x[:, c], n)[roots] / sizes for c in range(3)], axis=1)
+    palette = mean_palette(means, sizes, palette_size)
+    place = nearest_rows(np.clip(np.rint(means), 0, 255), palette)
+    colour = dict(zip(roots.tolist(), place.tolist()))
+    off = dict(zip(roots.tolist(), ((means - palette[place]) ** 2).sum(axis=1).tolist()))
+    fit, region, large = P.palette_fit(quality, palette_size) ** 2, P.guided_region(quality, palette_size) ** 2, P.guided_large_region(quality) ** 2
+    border, absorb = P.guided_boundary(quality, palette_size) ** 2, P.absorb_limit(min_area)
+    touch = (now[u] != now[v]) & (soft <= border) & (raw <= 2 * border)
+    for p, q in zip(u[touch].tolist(), v[touch].tolist()):
+        a, b = sets.find(p), sets.find(q)
+        if a == b or colour[a] != colour[b] or off[a] > fit or off[b] > fit:
             continue
-        ta, tb = total[ra], total[rb]
-        if near([v / ta[0] for v in ta[1:]], [v / tb[0] for v in tb[1:]], mean):
-            total[sets.union(ra, rb)] = [u + v for u, v in zip(ta, tb)]
-    least: dict[int, int] = {}
-    return [least.setdefault(sets.find(k), k) for k in range(n)]
+        d = apart(a, b)
+        if d > region or (min(count[a], count[b]) > absorb and d > large):
+            continue
+        shared = colour[a]
+        keep, gone = merge(a, b)
+        colour[keep], off[keep] = shared, sum((t[keep] / count[keep] - palette[shared][c]) ** 2 for c, t in enumerate(total))
+        colour[gone] = -1
+    now = np.array([sets.find(k) for k in range(n)])
+    _, start, back = np.unique(now, return_index=True, return_inverse=True)
+    return start[back]
+
+
+def visiting_order(label, start: int, width: int, height: int) -> list[int]:
+    """A component's pixels breadth first from its first one, neighbours row by row."""
+    seen, order = {start}, [start]
+    for k in order:
+        y, x = divmod(k, width)
+        for dx, dy in NEAR8:
+            n = k + dy * width + dx
+            if 0 <= x + dx < width and 0 <= y + dy < height and n not in seen and label[n] == start:
+                seen.add(n)
+                order.append(n)
+    return order
 
 
 def chains(pixels: list[int], width: int, shortest: int) -> list[list[int]]:

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import exprs as X
+from ..operators import encode as E
 from ..operators import frames as FR
 from ..operators import palette as PA
 from ..operators import render as R
 from ..operators import residuals as RE
 from ..operators import stencils as ST
+from ..operators import strokes as SK
 from ..operators import summary as SU
 from ..operators import surface as S
 from ..operators import temporal as T
 from ..sources import text_format as TF
 from ..sources.raster import HEIGHT, RASTER_SQL, WIDTH, event_raster
+from . import jobs
 
 W, H, CELL, COLS = WIDTH, HEIGHT, 5, 5
 QUERIES, ORACLES = {}, {}
@@ -138,7 +141,7 @@ def grid_sample(spark, d):
 
 SIZE = 6
 SAMPLE = "s AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM pixel WHERE x % 2 = 0 AND y % 2 = 0)"
-START = f"c0 AS (SELECT f, j AS idx, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r FROM s, range(0, {SIZE}) t(j) WHERE j * n // {SIZE} = i)"
+START = f"c0 AS (SELECT f, j AS idx, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r FROM s, range(0, {SIZE}) t(j) WHERE CAST(round_even(j * (n - 1) / {SIZE - 1}.0::DOUBLE, 0) AS BIGINT) = i)"
 
 
 def _nearest_sql(pixels, centres, extra=""):
@@ -227,11 +230,21 @@ def surface_corners(spark, d):
     return S.corners(_cells(spark, d))
 
 
+WIDE = f"{CORNERS}, wide AS (SELECT a.f, a.cell, a.cx, a.cy, a.b, a.g, a.r, " + ", ".join(f"c{i}{j}.{c} AS c{i}{j}_{c}" for i in (0, 1) for j in (0, 1) for c in "bgr") + " FROM cells a " + " ".join(
+    f"JOIN corner c{i}{j} ON c{i}{j}.f = a.f AND c{i}{j}.vx = a.cx + {i} AND c{i}{j}.vy = a.cy + {j}" for i in (0, 1) for j in (0, 1)) + ")"
+
+
+def _blend(old, new, weight):
+    return f"CAST(least(255, greatest(0, round_even(({old}) * (1.0::DOUBLE - {weight}) + ({new}) * {weight}, 0))) AS BIGINT)"
+
+
+def _shown(c, tx, ty):
+    top, low = f"(c00_{c} + (c10_{c} - c00_{c}) * {tx})", f"(c01_{c} + (c11_{c} - c01_{c}) * {tx})"
+    return _blend(c, f"least(255, greatest(0, round_even({top} + ({low} - {top}) * {ty}, 0)))", "0.12::DOUBLE")
+
+
 def _display_sql():
-    one = "CAST(least(255, greatest(0, round_even(q.{c} + (bl_{c} - q.{c}) * 0.12::DOUBLE, 0))) AS BIGINT) AS {c}"
-    bl = "least(255, greatest(0, round_even((c00.{c} + (c10.{c} - c00.{c}) * 0.25::DOUBLE) + ((c01.{c} + (c11.{c} - c01.{c}) * 0.25::DOUBLE) - (c00.{c} + (c10.{c} - c00.{c}) * 0.25::DOUBLE)) * 0.75::DOUBLE, 0))) AS bl_{c}"
-    joins = " ".join(f"JOIN corner c{i}{j} ON c{i}{j}.f = a.f AND c{i}{j}.vx = a.cx + {i} AND c{i}{j}.vy = a.cy + {j}" for i in (0, 1) for j in (0, 1))
-    return f"AND {CORNERS} SELECT f, cell, " + ", ".join(one.format(c=c) for c in "bgr") + " FROM (SELECT a.f, a.cell, a.b, a.g, a.r, " + ", ".join(bl.format(c=c) for c in "bgr") + f" FROM cells a {joins}) q"
+    return f"AND {WIDE} SELECT f, cell, " + ", ".join(f"{_shown(c, '0.25::DOUBLE', '0.75::DOUBLE')} AS {c}" for c in "bgr") + " FROM wide"
 
 
 @query(_display_sql())
@@ -240,19 +253,44 @@ def surface_bilinear(spark, d):
     return S.display(cells, S.corners(cells), 0.25, 0.75)
 
 
-@query(f"""AND {CELLS} SELECT f, z, cell, cx * 5 AS x0, CASE WHEN (cx + cy) % 2 = 0 THEN cy * 5 + 4 ELSE cy * 5 END AS y0, cx * 5 + 4 AS x1, CASE WHEN (cx + cy) % 2 = 0 THEN cy * 5 ELSE cy * 5 + 4 END AS y1, """
-       + ", ".join(f"CAST(least(255, greatest(0, round_even({c} + (255 - {c}) * 0.12::DOUBLE, 0))) AS BIGINT) AS {c}" for c in "bgr")
-       + f""", least(255, greatest(0, 32 + (255 - l) // 4)) AS opacity FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY cell) AS z FROM (SELECT *, {LUMA} AS l FROM cells) WHERE cell % 2 = 0 AND (l < 90 OR (cx + cy) % 5 = 0)) WHERE z <= 7""")
+#: The encoder's knobs for these small frames: more residual patches than by default.
+KNOBS = P.DEFAULTS | {"residual": 35}
+
+
+def _at_sql(places):
+    """Places (f, x, y and more) with the shown colour of the surface there."""
+    tx, ty = "((q.x - w.cx * 5) / CAST(least(25, w.cx * 5 + 5) - w.cx * 5 AS DOUBLE))", "((q.y - w.cy * 5) / CAST(least(20, w.cy * 5 + 5) - w.cy * 5 AS DOUBLE))"
+    return "(SELECT q.*, " + ", ".join(f"{_shown(c, tx, ty).replace('(' + c + ') *', '(w.' + c + ') *')} AS p{c}" for c in "bgr") + f" FROM {places} q JOIN wide w ON w.f = q.f AND w.cx = least(4, q.x // 5) AND w.cy = least(3, q.y // 5))"
+
+
+@query(f"AND {WIDE} SELECT f, k, pb, pg, pr FROM {_at_sql('(SELECT f, k, x, y FROM pixel)')}")
+def surface_at_pixels(spark, d):
+    pixel = event_raster(spark, d)
+    return S.display_at(pixel.select("f", "k", "x", "y"), S.grid_means(pixel, CELL, W), CELL, W, H).select("f", "k", "pb", "pg", "pr")
+
+
+@query(f"""AND {CELLS}, h AS (SELECT f, cell, cx, cy, b, g, r, {LUM} AS l, cx * 5 AS x0, cy * 5 AS y0, least(24, cx * 5 + 4) AS x1, least(19, cy * 5 + 4) AS y1 FROM cells), dk AS (SELECT *, CAST(floor(least(255, greatest(0, 255 - l))) AS BIGINT) AS dark, least(0.28::DOUBLE, greatest(0.08::DOUBLE, (255 - l) / 510.0)) AS wt FROM h WHERE l <= 238 OR (cx + cy) % 5 = 0)
+  SELECT f, row_number() OVER (PARTITION BY f ORDER BY cell) AS z, cell, x0 + 1 AS x0, CASE WHEN (cx + cy) % 2 = 0 THEN y1 - 1 ELSE y0 + 1 END AS y0, x1 - 1 AS x1, CASE WHEN (cx + cy) % 2 = 0 THEN y0 + 1 ELSE y1 - 1 END AS y1, """
+       + ", ".join(f"{_blend(c, 255, 'wt')} AS {c}" for c in "bgr")
+       + """, CAST(floor(least(210, greatest(80, 80 + dark * 0.45::DOUBLE))) AS BIGINT) AS intensity, 4 AS width, 2 AS glow, CAST(floor(least(148, greatest(34, 28 + dark * 0.35::DOUBLE + 16.25))) AS BIGINT) AS opacity FROM dk""")
 def hatch_strokes(spark, d):
-    return S.hatches(_cells(spark, d), CELL, 2, 7, bright=90)
+    return S.hatches(_cells(spark, d), CELL, W, H, KNOBS)
+
+
+TILES = f"""{WIDE}, tl AS (SELECT f, tx, ty, tx * 6 AS x0, ty * 6 AS y0, least(25, tx * 6 + 6) AS x1, least(20, ty * 6 + 6) AS y1 FROM (SELECT DISTINCT f FROM pixel), range(0, 5) a(tx), range(0, 4) b(ty)),
+  pd AS {_at_sql('(SELECT *, (x0 + x1) // 2 AS x, (y0 + y1) // 2 AS y FROM tl)')}, te AS (SELECT p.f, d.x0, d.y0, d.x1, d.y1, sum((abs(p.b - d.pb) + abs(p.g - d.pg) + abs(p.r - d.pr)) // 3) / CAST(count(*) AS DOUBLE) AS error, sum(p.b) // count(*) AS b, sum(p.g) // count(*) AS g, sum(p.r) // count(*) AS r
+    FROM pixel p JOIN pd d ON d.f = p.f AND d.tx = p.x // 6 AND d.ty = p.y // 6 GROUP BY ALL),
+  ti AS (SELECT f, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, error, b, g, r, CAST(floor(least(190, greatest(54, 36 + error * 3.2::DOUBLE))) AS BIGINT) AS opacity FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY error DESC, y0, x0) AS rank FROM te WHERE error >= 19) WHERE rank <= 98)"""
 
 
-@query(f"""AND {CELLS}, t AS (SELECT p.f, p.x // 3 AS tx, p.y // 3 AS ty, sum((abs(p.b - c.b) + abs(p.g - c.g) + abs(p.r - c.r)) // 3) // count(*) AS error, sum(p.b) // count(*) AS b, sum(p.g) // count(*) AS g, sum(p.r) // count(*) AS r
-  FROM pixel p JOIN cells c ON p.f = c.f AND p.x // 5 = c.cx AND p.y // 5 = c.cy GROUP BY 1, 2, 3)
-  SELECT f, tx * 3 AS x, ty * 3 AS y, error, b, g, r FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY error DESC, ty, tx) AS rank FROM t WHERE error >= 8) WHERE rank <= 12""")
+@query(f"AND {TILES} SELECT f, x, y, w, h, round(error, 6) AS error, b, g, r, opacity FROM ti")
 def residual_tiles(spark, d):
+    return _patches(spark, d).withColumn("error", F.round("error", 6))
+
+
+def _patches(spark, d):
     pixel = event_raster(spark, d)
-    return S.residual_tiles(pixel, S.grid_means(pixel, CELL, W), CELL, 3, 8, 12)
+    return S.residual_tiles(pixel, S.grid_means(pixel, CELL, W), CELL, W, H, KNOBS)
 
 
 @query("SELECT f, x * 6 // 25 AS cx, y * 4 // 20 AS cy, " + ", ".join(f"CAST(round_even(sum({c}) / CAST(count(*) AS DOUBLE), 0) AS BIGINT) AS {c}" for c in "bgr") + " FROM pixel GROUP BY 1, 2, 3")
@@ -293,9 +331,11 @@ def _n(c, dx, dy):
 
 NMS = f"""{FIELD}, nm AS (SELECT f, k, x, y, CASE WHEN {IN} AND mag >= CASE WHEN abs(gx) > 2 * abs(gy) THEN {_n('mag', -1, 0)} WHEN abs(gy) > 2 * abs(gx) THEN {_n('mag', 0, -1)} WHEN xor(gx, gy) >= 0 THEN {_n('mag', -1, -1)} ELSE {_n('mag', 1, -1)} END
   AND mag >= CASE WHEN abs(gx) > 2 * abs(gy) THEN {_n('mag', 1, 0)} WHEN abs(gy) > 2 * abs(gx) THEN {_n('mag', 0, 1)} WHEN xor(gx, gy) >= 0 THEN {_n('mag', 1, 1)} ELSE {_n('mag', -1, 1)} END THEN mag ELSE 0 END AS nms FROM fi {WIN})"""
-KEEP = 0.3
-HIGH = f"""{NMS}, hi AS (SELECT f, coalesce(least(210, greatest(18, v)), 255) AS high FROM (SELECT DISTINCT f FROM pixel) LEFT JOIN (SELECT f, max(v) AS v FROM (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v DESC) AS cum, sum(n) OVER (PARTITION BY f) AS al FROM
-  (SELECT f, nms AS v, count(*) AS n FROM nm WHERE nms > 0 GROUP BY 1, 2)) WHERE cum >= greatest(1, ceil(al * {KEEP}::DOUBLE)) GROUP BY f) USING (f))"""
+QUALITY, DENSITY = KNOBS["quality"], KNOBS["density"]
+KEPT = "least(mo, greatest(le, CAST(round_even(al * (0.012::DOUBLE + 0.00075::DOUBLE * 78 + 0.00022::DOUBLE * 82), 0) AS BIGINT)))"
+HIGH = f"""{NMS}, hg AS (SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v DESC) AS cum, sum(n) OVER (PARTITION BY f) AS al FROM (SELECT f, nms AS v, count(*) AS n FROM nm WHERE nms > 0 GROUP BY 1, 2)),
+  hb AS (SELECT f, v, cum, al, greatest(al // 300, 1, al // 6) AS mo, greatest(1, al // 300, least(80, greatest(al // 300, 1, al // 6))) AS le FROM hg),
+  hi AS (SELECT f, coalesce(least(210, greatest(18, v)), 255) AS high FROM (SELECT DISTINCT f FROM pixel) LEFT JOIN (SELECT f, max(v) AS v FROM hb WHERE cum >= {KEPT} GROUP BY f) USING (f))"""
 
 
 def _blurred(spark, d):
@@ -308,7 +348,7 @@ def _nms(spark, d):
 
 def _edges(spark, d):
     nms = _nms(spark, d)
-    return FR.hysteresis(nms, "nms", ST.high_threshold(nms, "nms", KEEP), W, H)
+    return FR.hysteresis(nms, "nms", ST.high_threshold(nms, "nms", QUALITY, DENSITY), W, H)
 
 
 @query(f"AND {BLURRED} SELECT f, k, l FROM bl")
@@ -328,7 +368,7 @@ def nms(spark, d):
 
 @query(f"AND {HIGH} SELECT f, high FROM hi")
 def adaptive_threshold(spark, d):
-    return ST.high_threshold(_nms(spark, d), "nms", KEEP)
+    return ST.high_threshold(_nms(spark, d), "nms", QUALITY, DENSITY)
 
 
 HYST = f"""{HIGH}, cand AS (SELECT f, k, x, y, nms >= high AS seed, ({IN}) AND nms >= greatest(8, round_even(0.42::DOUBLE * high, 0)) AS grow FROM nm JOIN hi USING (f)),
@@ -395,28 +435,91 @@ def region_table(spark, d):
 @query(f"""AND {BANDS} SELECT f, v AS idx, x + a AS x0, y + b_ AS y0, x + c AS x1, y + d_ AS y1 FROM (SELECT *, y > 0 AND {_n('v', 0, -1)} = v AS st, x < {W - 1} AND {_n('v', 1, 0)} = v AS sr, y < {H - 1} AND {_n('v', 0, 1)} = v AS sl, x > 0 AND {_n('v', -1, 0)} = v AS sf FROM bands {WIN}) q,
   (VALUES ('t', 0, 0, 1, 0), ('r', 1, 0, 1, 1), ('l', 1, 1, 0, 1), ('f', 0, 1, 0, 0)) o(side, a, b_, c, d_) WHERE NOT coalesce(CASE side WHEN 't' THEN st WHEN 'r' THEN sr WHEN 'l' THEN sl ELSE sf END, false)""")
 def boundary_edges(spark, d):
-    return ST.boundary_edges(_bands(spark, d).withColumn("idx", F.col("v")), W, H)
+    return ST.boundary_edges(_bands(spark, d).withColumn("idx", F.col("v")), W, H).select("f", "idx", "x0", "y0", "x1", "y1")
+
+
+def _rings(spark, d, tolerance):
+    pixel = _bands(spark, d).withColumn("idx", F.col("v"))
+    labelled = pixel.join(FR.connected(pixel, "v", W, H), ["f", "k"])
+    return FR.rings(ST.boundary_edges(labelled, W, H, "component"), tolerance)
+
+
+@query(f"""AND {COMP}, cp AS (SELECT c.f, c.k, c.component, b.x, b.y, b.v FROM comp c JOIN bands b USING (f, k)), sd AS (SELECT a.f, a.component, any_value(a.v) AS idx, count(*) AS area FROM cp a GROUP BY 1, 2)
+  SELECT f, idx, component, area FROM sd""")
+def ring_components(spark, d):
+    """Each component has one ring, which with its holes encloses the component's pixels."""
+    pixel = _bands(spark, d)
+    comp = FR.connected(pixel, "v", W, H)
+    sizes = comp.groupBy("f", "component").agg(F.count("*").alias("area"))
+    return _rings(spark, d, 1.0).where("area > 0").join(sizes.withColumnRenamed("area", "pixels"), ["f", "component"]).select("f", "idx", "component", F.col("pixels").alias("area"))
 
 
 @query()
 def boundary_rings(spark, d):
-    return FR.rings(ST.boundary_edges(_bands(spark, d).withColumn("idx", F.col("v")), W, H), 1.0).drop("points")
+    return _rings(spark, d, 1.0).drop("points")
 
 
 @query()
 def rdp_simplify(spark, d):
-    return FR.rings(ST.boundary_edges(_bands(spark, d).withColumn("idx", F.col("v")), W, H), 1.75).select("f", "idx", "n_simple", "points")
+    return _rings(spark, d, 1.75).select("f", "idx", "component", "n_simple", "points")
 
 
 @query()
 def merged_regions(spark, d):
-    return FR.merged(event_raster(spark, d), W, H, P.neighbor_merge(82), P.blurred_boundary(82), P.blurred_region(82))
+    return FR.merged(event_raster(spark, d), W, H, QUALITY, P.palette_size(QUALITY))
+
+
+def _video(df):
+    return df.withColumn("video", F.lit("events"))
+
+
+def _strokes(spark, d):
+    bridged = ST.bridge(_edges(spark, d), "edge", W, H, "e2").select("f", "k", F.col("e2").alias("edge"))
+    mag = ST.gradient(_blurred(spark, d), "l", W, H).select("f", "k", "mag")
+    return SK.build(_video(event_raster(spark, d).join(mag, ["f", "k"]).join(bridged, ["f", "k"])), W, H, KNOBS)
 
 
 @query()
 def stroke_chains(spark, d):
-    bridged = ST.bridge(_edges(spark, d), "edge", W, H, "e2").select("f", "k", F.col("e2").alias("edge"))
-    return FR.strokes(bridged, W, H, 3, 1.0, 2.0).withColumn("length", F.round("length", 6))
+    return _strokes(spark, d)
+
+
+@query()
+def stroke_tracks(spark, d):
+    return SK.tracked(_strokes(spark, d), W, H, DENSITY)
+
+
+@query()
+def stroke_encode(spark, d):
+    """The stroke encoder over the event frames: a row a frame."""
+    frames = jobs.stroke_frames(_video(event_raster(spark, d)), W, H, KNOBS)
+    return frames.select("video", "f", "key", F.size("changes").alias("changes"), F.size("strokes").alias("strokes"), F.size("residuals").alias("residuals"), F.expr("aggregate(strokes, 0, (a, s) -> a + size(s.points))").alias("points"))
+
+
+def _frames(spark, d):
+    return jobs.packed(_video(event_raster(spark, d)))
+
+
+@query()
+def region_encode(spark, d):
+    """The region encoder over the event frames, ids and all: a row a region."""
+    traced = E.with_ids(E.regions(_frames(spark, d), W, H, {"palette": 8}), W, H)
+    return traced.select("video", "f", "back_r", "back_g", "back_b", F.posexplode("regions").alias("z", "s")).select("video", "f", "back_r", "back_g", "back_b", "z", "s.id", "s.r", "s.g", "s.b", "s.points", "s.is_correction")
+
+
+@query()
+def region_encode_merged(spark, d):
+    return E.regions(_frames(spark, d), W, H, {"palette": 8, "tracer": "merged"}).select("video", "f", F.size("regions").alias("regions"))
+
+
+@query()
+def region_encode_fast(spark, d):
+    return E.regions(_frames(spark, d), W, H, {"palette": 8, "tracer": "fast"}).select("video", "f", F.size("regions").alias("regions"))
+
+
+@query()
+def edge_encode(spark, d):
+    return E.edges(_frames(spark, d), W, H, 60.0, True, 0.5).select("video", "f", F.posexplode("paths").alias("z", "points"))
 
 
 @query(f"""AND {REGIONS} SELECT f, z, pz, round(0.35 * sqrt((cx - pcx) * (cx - pcx) + (cy - pcy) * (cy - pcy)) / sqrt({W * W + H * H}.0) + 0.35 * sqrt(CAST((mean_b - pb) * (mean_b - pb) + (mean_g - pg) * (mean_g - pg) + (mean_r - pr) * (mean_r - pr) AS DOUBLE)) / 441.67295593
@@ -519,7 +622,7 @@ def region_text_roundtrip(spark, d):
     lines = _texted(spark, d).withColumn("line", F.expr(TF.region_line("id", ("mean_r", "mean_g", "mean_b"), "points")))
     body = lines.select(F.lit("one").alias("path"), F.col("f").alias("frame"), F.expr("f * 100000 + 2 + z").cast("long").alias("n"), "line")
     ends = body.select("path", "frame").distinct().select("path", "frame", F.explode(F.expr("array(struct(bigint(frame * 100000) AS n, concat('FRAME ', frame) AS line), struct(bigint(frame * 100000 + 99999) AS n, 'END' AS line))")).alias("e"))
-    back = TF.parse_regions(body.select("path", "n", "line").unionByName(ends.select("path", "e.n", "e.line")))
+    back = TF.parse_regions(body.select("path", "n", "line").unionByName(ends.select("path", "e.n", "e.line")), header=0)
     known = lines.select("f", "z", "line")
     return back.join(known, ["f", "z"]).select("f", "z", "line", "id", "r", "g", "b", F.size("points").alias("n"), "is_correction")
 
@@ -540,20 +643,116 @@ def fan_triangles(spark, d):
     return R.fan(_texted(spark, d), W, H).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
 
-@query(f"AND {CELLS} SELECT f, cell, corner, round((cx + CASE WHEN corner IN (1, 2, 4) THEN 1 ELSE 0 END) * 5 / 25.0 * 2 - 1, 6) AS vx, round(1 - (cy + CASE WHEN corner IN (2, 4, 5) THEN 1 ELSE 0 END) * 5 / 20.0 * 2, 6) AS vy FROM cells, range(0, 6) t(corner)")
+def _clip(v, keys):
+    """Vertices with six decimals."""
+    return v.select(*keys, "vertex", *[r6(F.col(c), c) for c in ("x", "y", "red", "green", "blue", "alpha")])
+
+
+def _quad_sql(corners, source, keys, colors=("r", "g", "b")):
+    """SQL: vertices of quads; corners are four (x, y, alpha) over a row of ``source``."""
+    pick = lambda i: "CASE vertex " + " ".join(f"WHEN {v} THEN {corners[c][i]}" for v, c in enumerate(R.QUAD)) + " END"
+    return (f"SELECT {keys}, vertex, round(({pick(0)}) / 25.0::DOUBLE * 2 - 1, 6) AS x, round(1 - ({pick(1)}) / 20.0::DOUBLE * 2, 6) AS y, "
+            + ", ".join(f"round({c} / 255.0::DOUBLE, 6) AS {n}" for c, n in zip(colors, ("red", "green", "blue"))) + f", round(least(1, greatest(0, CAST(({pick(2)}) AS DOUBLE))), 6) AS alpha FROM {source} q, range(0, 6) vv(vertex)")
+
+
+def _box_sql(x0, y0, x1, y1, alpha):
+    return [(x0, y0, alpha), (x1, y0, alpha), (x1, y1, alpha), (x0, y1, alpha)]
+
+
+def _surface_sql():
+    """Cells of 15 pixels: 15 wide ones are cut in two, the last ones of 10 or 5 not."""
+    cells15 = "cells AS (SELECT f, (y // 15) * 2 + x // 15 AS cell, x // 15 AS cx, y // 15 AS cy, " + ", ".join(f"sum({c}) // count(*) AS {c}" for c in "bgr") + " FROM pixel GROUP BY 1, 2, 3, 4)"
+    wide = WIDE.replace(CELLS, cells15)
+    cut = f"""{wide}, cu AS (SELECT *, (cx * 15 + 0.0) AS x0, (cy * 15 + 0.0) AS y0, least(25, cx * 15 + 15) - cx * 15 AS w, least(20, cy * 15 + 15) - cy * 15 AS h FROM wide), cv AS (SELECT *, CASE WHEN w >= 14 THEN 2 ELSE 1 END AS nx, CASE WHEN h >= 14 THEN 2 ELSE 1 END AS ny FROM cu),
+      ce AS (SELECT * FROM cv, range(0, 2) a(sx), range(0, 2) b(sy) WHERE sx < nx AND sy < ny), cs AS (SELECT f, cell, sy * nx + sx AS piece, x0, y0, w, h, nx, ny, sx, sy, {", ".join(f"{_shown(c, '((sx + 0.5::DOUBLE) / nx)', '((sy + 0.5::DOUBLE) / ny)')} AS {c}" for c in "bgr")} FROM ce)"""
+    at = lambda v, n, s: f"({v} + {'w' if n == 'nx' else 'h'} * {s} / CAST({n} AS DOUBLE))"
+    return f"AND {cut} " + _quad_sql(_box_sql(at("x0", "nx", "sx"), at("y0", "ny", "sy"), at("x0", "nx", "(sx + 1)"), at("y0", "ny", "(sy + 1)"), "0.32::DOUBLE"), "cs", "f, cell, piece")
+
+
+@query(_surface_sql())
 def surface_vertices(spark, d):
-    v = R.boxes(_cells(spark, d).selectExpr("f", "cell", "cx * 5 x", "cy * 5 y", "5 w", "5 h"), W, H, ["f", "cell"])
-    return v.select("f", "cell", "corner", r6(F.col("cx"), "vx"), r6(F.col("cy"), "vy"))
+    return _clip(R.surface_vertices(S.grid_means(event_raster(spark, d), 15, W), 15, W, H, 32), ["f", "cell", "piece"])
 
 
-@query()
+def _residual_sql(keys="f, x AS px, y AS py"):
+    base = f"""{TILES}, rv AS (SELECT f, x AS px, y AS py, b, g, r, opacity / 255.0::DOUBLE AS a, x + 0.0::DOUBLE AS x0, y + 0.0::DOUBLE AS y0, x + w + 0.0::DOUBLE AS x1, y + h + 0.0::DOUBLE AS y1, greatest(2, least(7, 0.33::DOUBLE * least(w, h))) AS m FROM ti)"""
+    u0, v0, u1, v1 = "(x0 + m)", "(y0 + m)", "(x1 - m)", "(y1 - m)"
+    sides = [
+        _box_sql(u0, v0, u1, v1, "a"), [("x0", "y0", "0"), ("x1", "y0", "0"), (u1, v0, "a"), (u0, v0, "a")], [(u0, v1, "a"), (u1, v1, "a"), ("x1", "y1", "0"), ("x0", "y1", "0")],
+        [("x0", "y0", "0"), (u0, v0, "a"), (u0, v1, "a"), ("x0", "y1", "0")], [(u1, v0, "a"), ("x1", "y0", "0"), ("x1", "y1", "0"), (u1, v1, "a")]]
+    large = f"(SELECT * FROM rv WHERE {u1} > {u0} AND {v1} > {v0})"
+    parts = [f"SELECT f, px, py, vertex + {6 * n} AS vertex, x, y, red, green, blue, alpha FROM ({_quad_sql(side, large, 'f, px, py')})" for n, side in enumerate(sides)]
+    small = _quad_sql(_box_sql("x0", "y0", "x1", "y1", "0.55::DOUBLE * a"), f"(SELECT * FROM rv WHERE NOT ({u1} > {u0} AND {v1} > {v0}))", "f, px, py")
+    return base, " UNION ALL ".join([*parts, f"SELECT * FROM ({small})"])
+
+
+@query("AND " + " ".join(_residual_sql()))
 def residual_vertices(spark, d):
-    return R.feathered(residual_tiles(spark, d).selectExpr("f", "x", "y", "9 w", "9 h", "error / 255D alpha"))
+    return _clip(R.residual_vertices(_patches(spark, d), W, H), ["f", "px", "py"])
 
 
-@query()
+ATTRIBUTES = {"b": "z * 11", "g": "z * 5", "r": "255 - z * 10", "intensity": "40 + z * 9", "width": "4 + z % 14", "glow": "z * 3 % 32", "opacity": "120 + z * 5"}
+
+
+def _drawn(spark, d):
+    return T.resample(_paths(spark, d), 9).selectExpr("f", "z", "points", *[f"{v} AS {k}" for k, v in ATTRIBUTES.items()])
+
+
+def _stroke_sql(glow):
+    pts = "qs AS (SELECT f, y AS z, i, max(CASE WHEN x = CAST(round_even(i * 24 / 8.0::DOUBLE, 0) AS BIGINT) THEN b END) AS py, CAST(round_even(i * 24 / 8.0::DOUBLE, 0) AS BIGINT) AS px FROM pixel, range(0, 9) t(i) GROUP BY f, y, i)"
+    color = lambda c: f"CAST(least(255, greatest(0, round_even(({ATTRIBUTES[c]}) * (1.08::DOUBLE + 0.28::DOUBLE * ({ATTRIBUTES['intensity']}) / 255), 0))) AS BIGINT)" if glow else f"({ATTRIBUTES[c]})"
+    core = f"greatest(1.0::DOUBLE, ({ATTRIBUTES['width']}) / 4.0::DOUBLE)"
+    half = f"({core} + ({ATTRIBUTES['glow']})) / 2" if glow else f"{core} / 2"
+    alpha = f"({ATTRIBUTES['opacity']}) / 255.0::DOUBLE" + (f" * least(0.32::DOUBLE, greatest(0.08::DOUBLE, ({ATTRIBUTES['glow']}) / 28.0::DOUBLE))" if glow else "")
+    seg = f"""{pts}, sg AS (SELECT *, sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE)) AS len FROM (SELECT f, z, i AS seg, px AS ax, py AS ay, lead(px) OVER w AS bx, lead(py) OVER w AS by_, {", ".join(f"{color(c)} AS {c}" for c in "bgr")}, {half} AS hw, {alpha} AS a FROM qs WINDOW w AS (PARTITION BY f, z ORDER BY i)) WHERE bx IS NOT NULL),
+      sn AS (SELECT *, -(by_ - ay) / len * hw AS nx, (bx - ax) / len * hw AS ny FROM sg WHERE len >= 0.001)"""
+    return f"AND {seg} " + _quad_sql([("ax + nx", "ay + ny", "a"), ("bx + nx", "by_ + ny", "a"), ("bx - nx", "by_ - ny", "a"), ("ax - nx", "ay - ny", "a")], "sn", "f, z, seg")
+
+
+@query(_stroke_sql(False))
 def stroke_vertices(spark, d):
-    return R.segments(T.resample(_paths(spark, d), 9), F.lit(0.5)).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+    return _clip(R.stroke_vertices(_drawn(spark, d), W, H, False), ["f", "z", "seg"])
+
+
+@query(_stroke_sql(True))
+def stroke_glow_vertices(spark, d):
+    return _clip(R.stroke_vertices(_drawn(spark, d), W, H, True), ["f", "z", "seg"])
+
+
+def _stroke_frame_sql():
+    core, glow = (_stroke_sql(g)[4:] for g in (False, True))
+    cut = core.index(" SELECT f, z, seg")
+    surface = _surface_sql()[4:].replace("cells AS", "cells15 AS").replace(" FROM cells,", " FROM cells15,").replace(" FROM cells a ", " FROM cells15 a ").replace("corner AS", "corner15 AS").replace("JOIN corner ", "JOIN corner15 ").replace("wide AS", "wide15 AS").replace("FROM wide)", "FROM wide15)")
+    s_cut = surface.index(" SELECT f, cell, piece")
+    base, patches = _residual_sql()
+    rename = lambda q: q.replace("qs AS", "qs2 AS").replace("FROM qs ", "FROM qs2 ").replace("sg AS", "sg2 AS").replace("FROM sg ", "FROM sg2 ").replace("sn AS", "sn2 AS").replace("FROM sn ", "FROM sn2 ")
+    g_cut = rename(glow).index(" SELECT f, z, seg")
+    body = [f"SELECT f, 0 AS layer, cell AS item, piece AS part, vertex, x, y, red, green, blue, alpha FROM ({surface[s_cut:]})", f"SELECT f, 1, py, px, vertex, x, y, red, green, blue, alpha FROM ({patches})",
+            f"SELECT f, 2, z, seg, vertex, x, y, red, green, blue, alpha FROM ({rename(glow)[g_cut:]})", f"SELECT f, 3, z, seg, vertex, x, y, red, green, blue, alpha FROM ({core[cut:]})"]
+    return f"AND {surface[:s_cut]}, {base}, {core[:cut]}, {rename(glow)[:g_cut]} " + " UNION ALL ".join(body)
+
+
+@query(_stroke_frame_sql())
+def stroke_gpu_frame(spark, d):
+    cells = S.grid_means(event_raster(spark, d), 15, W)
+    return _clip(R.stroke_frame(cells, _drawn(spark, d), _patches(spark, d), 15, W, H, 32), ["f", "layer", "item", "part"])
+
+
+GRID = "gd AS (SELECT f, x * 6 // 25 AS cx, y * 4 // 20 AS cy, " + ", ".join(f"CAST(round_even(sum({c}) / CAST(count(*) AS DOUBLE), 0) AS BIGINT) AS {c}" for c in "bgr") + " FROM pixel GROUP BY 1, 2, 3)"
+
+
+@query(f"AND {GRID} " + _quad_sql(_box_sql("cx * 25 / 6.0::DOUBLE", "cy * 20 / 4.0::DOUBLE", "(cx + 1) * 25 / 6.0::DOUBLE", "(cy + 1) * 20 / 4.0::DOUBLE", "1"), "gd", "f, cx, cy"))
+def backdrop_triangles(spark, d):
+    return _clip(R.backdrop(backdrop_grid(spark, d), 6, 4, W, H), ["f", "cx", "cy"])
+
+
+@query(f"""AND {REGIONS}, {GRID} SELECT f, 0 AS layer, cy * 6 + cx AS item, vertex // 3 AS part, vertex % 3 AS corner, x, y, red, green, blue FROM ({_quad_sql(_box_sql("cx * 25 / 6.0::DOUBLE", "cy * 20 / 4.0::DOUBLE", "(cx + 1) * 25 / 6.0::DOUBLE", "(cy + 1) * 20 / 4.0::DOUBLE", "1"), "gd", "f, cx, cy")})
+  UNION ALL SELECT f, 1, z, tri, corner, round(px / 25.0::DOUBLE * 2 - 1, 6), round(1 - py / 20.0::DOUBLE * 2, 6), round(mean_r / 255.0::DOUBLE, 6), round(mean_g / 255.0::DOUBLE, 6), round(mean_b / 255.0::DOUBLE, 6) FROM (SELECT f, z, tri, corner, mean_r, mean_g, mean_b, CASE WHEN corner = 0 THEN l WHEN (tri, corner) = (0, 1) THEN r WHEN (tri, corner) = (1, 2) THEN l ELSE r END AS px,
+  CASE WHEN corner = 0 THEN t WHEN (tri, corner) = (0, 1) THEN t WHEN (tri, corner) = (1, 2) THEN b ELSE b END AS py FROM reg, range(0, 2) a(tri), range(0, 3) c(corner))""")
+def region_gpu_frame(spark, d):
+    regions = _texted(spark, d).select("f", "z", "points", F.col("mean_b").alias("b"), F.col("mean_g").alias("g"), F.col("mean_r").alias("r"))
+    v = R.region_frame(regions, backdrop_grid(spark, d), 6, 4, W, H)
+    return v.select("f", "layer", "item", "part", "corner", *[r6(F.col(c), c) for c in ("x", "y", "red", "green", "blue")])
 
 
 @query(f"AND {REGIONS} SELECT count(DISTINCT f) AS frames, count(*) AS regions, count(*) FILTER (WHERE z % 5 = 0) AS corrections, CAST(4 * count(*) AS BIGINT) AS points, count(DISTINCT CASE WHEN z % 5 <> 0 THEN component + 1 END) AS tracks FROM reg")
@@ -593,3 +792,121 @@ def hex_colors(spark, d):
 @query("SELECT f, k, " + ", ".join(f"CAST(least(255, greatest(0, round_even({c} * (1.08::DOUBLE + 0.28::DOUBLE * g / 255), 0))) AS BIGINT) AS {c}" for c in "br") + " FROM pixel")
 def glow_boost(spark, d):
     return event_raster(spark, d).select("f", "k", *[X.glow_boost(c, "g").cast("int").alias(c) for c in "br"])
+
+
+@query("""AND s AS (SELECT f, y AS z, max(b) AS l, max(g) AS i, max(r) AS o FROM pixel GROUP BY 1, 2) SELECT f, z, round(l * (0.6::DOUBLE + i / 255.0::DOUBLE) * (o / 255.0::DOUBLE), 6) AS priority FROM s""")
+def stroke_priorities(spark, d):
+    s = event_raster(spark, d).groupBy("f", F.col("y").alias("z")).agg(F.max("b").alias("l"), F.max("g").alias("i"), F.max("r").alias("o"))
+    return s.select("f", "z", r6(X.stroke_priority("l", "i", "o"), "priority"))
+
+
+def _match_sql():
+    one = """(SELECT f{shift} AS f, y AS z, max(CASE WHEN x = 0 THEN b END) AS b0, max(CASE WHEN x = 24 THEN b END) AS b1, avg(b) AS cy, min(b) AS t, max(b) + 1 AS lo, CAST(round_even(avg(b), 0) AS BIGINT) AS mb, CAST(round_even(avg(g), 0) AS BIGINT) AS mg, CAST(round_even(avg(r), 0) AS BIGINT) AS mr,
+      sum(len) AS len FROM (SELECT *, sqrt(CAST(1 + (b - lag(b) OVER (PARTITION BY f, y ORDER BY x)) * (b - lag(b) OVER (PARTITION BY f, y ORDER BY x)) AS DOUBLE)) AS len FROM pixel) GROUP BY f, y)"""
+    diagonal = f"sqrt({W * W + H * H}.0::DOUBLE)"
+    ends = "least(abs(a.b0 - p.b0) + abs(a.b1 - p.b1), sqrt(576.0::DOUBLE + (a.b0 - p.b1) * (a.b0 - p.b1)) + sqrt(576.0::DOUBLE + (a.b1 - p.b0) * (a.b1 - p.b0))) / 2"
+    ih = "greatest(0, least(a.lo, p.lo) - greatest(a.t, p.t))"
+    iou = f"CASE WHEN {ih} > 0 THEN 25 * {ih} / CAST(25 * (a.lo - a.t) + 25 * (p.lo - p.t) - 25 * {ih} AS DOUBLE) ELSE 0 END"
+    return f"""SELECT a.f, a.z, round(0.30::DOUBLE * abs(a.cy - p.cy) / {diagonal} + 0.25::DOUBLE * ({ends}) / {diagonal} + 0.20::DOUBLE * sqrt(CAST((a.mb - p.mb) * (a.mb - p.mb) + (a.mg - p.mg) * (a.mg - p.mg) + (a.mr - p.mr) * (a.mr - p.mr) AS DOUBLE)) / 441.67295593::DOUBLE
+      + 0.15::DOUBLE * (1 - {iou}) + 0.10::DOUBLE * least(1, greatest(0, abs(ln((a.len + 1) / (p.len + 1))) / 2.2::DOUBLE)), 6) AS score FROM {one.format(shift="")} a JOIN {one.format(shift=" + 1")} p ON a.f = p.f AND a.z = p.z"""
+
+
+@query(_match_sql())
+def stroke_match_scores(spark, d):
+    colors = event_raster(spark, d).groupBy("f", F.col("y").alias("z")).agg(*[F.expr(f"int(bround(avg({c}), 0))").alias(f"m{c}") for c in "bgr"])
+    now = _paths(spark, d).join(colors, ["f", "z"]).select("*", X.bounds().alias("q"), X.vertex_mean().alias("m"), X.path_length().alias("len"))
+    before = now.select((F.col("f") + 1).alias("f"), "z", *[F.col(c).alias(f"p_{c}") for c in ("points", "mb", "mg", "mr", "q", "m", "len")])
+    both = now.join(before, ["f", "z"])
+    center = F.sqrt((F.col("m.x") - F.col("p_m.x")) ** 2 + (F.col("m.y") - F.col("p_m.y")) ** 2)
+    iou = X.intersection_over_union([F.col(f"q.{k}") for k in "ltrb"], [F.col(f"p_q.{k}") for k in "ltrb"])
+    color = X.distance(["mb", "mg", "mr"], ["p_mb", "p_mg", "p_mr"])
+    score = X.stroke_match_score(center, X.endpoint_distance("points", "p_points"), (W * W + H * H) ** 0.5, color, iou, "len", "p_len")
+    return both.select("f", "z", r6(score, "score"))
+
+
+@query("SELECT p_partkey, regexp_replace(printf('%.3f', round(p_retailprice / 7, 3)), '\\.?0+$', '') AS text FROM part", raster=False)
+def number_texts(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.number_text(F.col("p_retailprice") / 7).alias("text"))
+
+
+ENDINGS = ("lvf", "LVFZ", "lvfb", "LvfBz", "lvfs", "lvfsz", "mp4", "lvfx")
+
+
+@query("SELECT p_partkey, path, lower(split_part(path, '.', 2)) IN ('lvfz', 'lvfb', 'lvfbz') AS packed, lower(split_part(path, '.', 2)) IN ('lvfb', 'lvfbz') AS is_binary, lower(split_part(path, '.', 2)) IN ('lvfs', 'lvfsz') AS stroke FROM (SELECT p_partkey, '/a/b' || p_partkey || '.' || list_extract(["
+       + ", ".join(f"'{e}'" for e in ENDINGS) + "], CAST(p_partkey % 8 AS INTEGER) + 1) AS path FROM part)", raster=False)
+def path_kinds(spark, d):
+    ends = F.array(*[F.lit(e) for e in ENDINGS])
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("/a/b"), F.col("p_partkey").cast("string"), F.lit("."), F.element_at(ends, (F.col("p_partkey") % 8).cast("int") + 1)).alias("path"))
+    return p.select("p_partkey", "path", X.is_packed_path("path").alias("packed"), X.is_binary_path("path").alias("is_binary"), X.is_stroke_path("path").alias("stroke"))
+
+
+@query(f"AND {REGIONS}, {WIDE}, own AS (SELECT q.f, q.z, p.k FROM {_at_sql('(SELECT f, k, x, y FROM pixel)')} p JOIN reg q ON p.f = q.f AND p.x >= q.l AND p.x < q.r AND p.y >= q.t AND p.y < q.b WHERE sqrt(CAST((p.pb - q.mean_b) * (p.pb - q.mean_b) + (p.pg - q.mean_g) * (p.pg - q.mean_g) + (p.pr - q.mean_r) * (p.pr - q.mean_r) AS DOUBLE)) <= 40) SELECT f, z, count(*) AS pixels FROM own GROUP BY 1, 2")
+def owned_pixels(spark, d):
+    """How many pixels of a region's box the surface shows in about the region's colour."""
+    pixel = event_raster(spark, d)
+    shown = S.display_at(pixel.select("f", "k", "x", "y"), S.grid_means(pixel, CELL, W), CELL, W, H)
+    boxes = RE._on_tiles(_regions(spark, d))
+    covers = "x >= l AND x < r AND y >= t AND y < b"
+    hit = RE._tiled(shown).join(boxes, ["f", "_tx", "_ty"]).where(covers).where(X.belongs(["pb", "pg", "pr"], ["mean_b", "mean_g", "mean_r"], 40.0))
+    return hit.groupBy("f", "z").agg(F.count("*").alias("pixels"))
+
+
+def _knobs(p):
+    """Knobs over their whole ranges, from the part numbers."""
+    k = {"q": "p_partkey % 100 + 1", "c": "p_partkey * 7 % 101", "p": "p_partkey % 128 + 1", "d": "p_partkey * 3 % 101", "o": "p_partkey * 11 % 101", "k": "p_partkey * 13 % 101", "s": "p_partkey * 17 % 101", "n": "p_partkey * 19 % 101",
+         "r": "p_partkey * 23 % 101", "w": "160 + p_partkey % 1800", "h": "120 + p_partkey * 5 % 1000", "e": "p_partkey * 13 % 5000 + 1"}
+    return ", ".join(f"{v} AS {n}" for n, v in k.items()) if p is None else p.selectExpr("p_partkey", *[f"{v} AS {n}" for n, v in k.items()])
+
+
+def _formulas(knobs):
+    """(name, the engine's formula over the knobs, numbers or columns, and the same in SQL)."""
+    q, c, p, d, o, k, s, n, r, w, h, e = knobs
+    area, cl = "greatest(4.0, w * h * (0.00005 + (100 - q) * 0.000035))", lambda v, a, b: f"least({b}, greatest({a}, {v}))"
+    even, cut = lambda v: f"round_even({v}, 0)", lambda a, b: f"trunc(({a}) / {b}.0)"
+    rounded = lambda base, slope, a, b: cl(even(f"{base} + {slope} * (100 - q)"), a, b)
+    soft, base = "greatest(0.65, (101 - q) / 15.0)", cl(even("72 - 0.42 * q"), 24, 58)
+    error = f"greatest(3.0, 0.45 * {area} * {cl('1 + 0.025 * (100 - c)', '1.0', '3.5')})"
+    plain = f"greatest(3.0, 0.45 * {area} * {cl('1 + 0.025 * (100 - 100)', '1.0', '3.5')})"
+    scale = lambda hi: cl("sqrt(w * h / 2073600.0)", "0.75", hi)
+    A = P.min_region_area(q, w, h)
+    B = P.error_area(A)
+    return [
+        ("palette_size", P.palette_size(q), cl(even("8 + 0.34 * q"), 8, 48)), ("min_region_area", A, area), ("merged_region_area", P.merged_region_area(A), f"greatest(36.0, 0.08 * {area})"),
+        ("simplify_tolerance", P.simplify_tolerance(q), soft), ("neighbor_merge", P.neighbor_merge(q), rounded(4, 0.08, 4, 9)), ("blurred_boundary", P.blurred_boundary(q), rounded(13, 0.14, 12, 22)),
+        ("blurred_region", P.blurred_region(q), rounded(8, "0.1", 8, 16)), ("color_step", P.color_step(q), rounded(6, 0.08, 6, 12)),
+        ("palette_fit", P.palette_fit(q, p), cl(even("20 + 0.18 * (100 - q) + 0.04 * greatest(0, p - 36)"), 20, 34)), ("guided_region", P.guided_region(q, p), cl(even("15 + 0.16 * (100 - q) + 0.035 * greatest(0, p - 36)"), 15, 26)),
+        ("guided_large_region", P.guided_large_region(q), rounded(7, 0.08, 7, 12)), ("guided_boundary", P.guided_boundary(q, p), cl(even("14 + 0.13 * (100 - q) + 0.03 * greatest(0, p - 36)"), 14, 24)),
+        ("absorb_limit", P.absorb_limit(A), cl(even(f"0.55 * {area}"), 128, 1200)), ("error_threshold", P.error_threshold(q, c), cl(f"{base} + {even('0.28 * (100 - c)')}", base, 76)),
+        ("error_area", P.error_area(A, c), error), ("error_simplify", P.error_simplify(P.simplify_tolerance(q)), f"greatest(0.45, 0.75 * {soft})"),
+        ("max_error_regions", P.max_error_regions(q, c), f"greatest(0, {even(cl('3 * q - 150', 36, 180) + ' * c / 100.0')})"), ("max_error_bins", P.max_error_bins(q, c), f"greatest(1, {even(cl(cut('q - 34', 4), 6, 18) + ' * ' + cl('c / 100.0', '0.15', '1.0'))})"),
+        ("detail_min_bounds", P.detail_min_bounds(q, d), cl(even("48 - 0.18 * q - 0.15 * d"), 16, 42)), ("detail_threshold", P.detail_threshold(q, d), cl("42 - 0.16 * q - 0.18 * d", "12.0", "34.0")),
+        ("detail_owner", P.detail_owner(q, d), cl("8 + 0.04 * (100 - q) + 0.03 * d", "8.0", "14.0")),
+        ("detail_source_area", P.detail_source_area(A, w, h, d), f"greatest({area} * {cl('12 - 0.06 * d', '5.0', '12.0')}, w * h * {cl('0.003 - 0.000015 * d', '0.0012', '0.003')})"),
+        ("detail_bin_pixels", P.detail_bin_pixels(B, d), f"greatest(14, {even(plain + ' * ' + cl('0.12 - 0.0007 * d', '0.045', '0.12'))})"), ("detail_area", P.detail_area(B, d), f"greatest(18.0, {plain} * {cl('0.16 - 0.0008 * d', '0.06', '0.16')})"),
+        ("detail_simplify", P.detail_simplify(P.simplify_tolerance(q), d), cl(f"0.6 * {soft} - 0.003 * d", "0.35", "1.1")), ("max_detail_sources", P.max_detail_sources(d), cl(f"8 + {cut('d', 3)}", 8, 36)),
+        ("max_detail_bins", P.max_detail_bins(d), cl(f"2 + {cut('d', 12)}", 3, 10)), ("max_detail_regions", P.max_detail_regions(q, d), f"CASE WHEN d <= 0 THEN 0 ELSE {cl('24 + ' + cut('q', 2) + ' + d', 48, 220)} END"),
+        ("motion_threshold", P.motion_threshold(o), cl(even("44 - 0.22 * o"), 18, 44)), ("dark_luminance", P.dark_luminance(k), "12 + 0.45 * k"), ("dark_base_factor", P.dark_base_factor(k), "1.5 + 0.095 * k"),
+        ("dark_residual_factor", P.dark_residual_factor(k), "1.8 + 0.08 * k"), ("backdrop_columns", P.backdrop_columns(q, w), cl("CASE WHEN q >= 92 THEN 64 WHEN q >= 70 THEN 48 ELSE 32 END", 1, "greatest(1, w)")),
+        ("surface_cell", P.surface_cell(q, s, w, h), cl(even(f"(25 - 0.15 * s - 0.055 * q) * {scale('1.35')}"), 7, 32)), ("surface_delta", P.surface_delta(q, s), cl(f"20 - {cut('q', 9)} - {cut('s', 12)}", 5, 18)),
+        ("stroke_min_pixels", P.stroke_min_pixels(q, n, w, h), cl(even(f"(12 - 0.045 * q - 0.035 * n) * {scale('1.4')}"), 3, 14)), ("stroke_min_length", P.stroke_min_length(q, n, w, h), cl("sqrt(CAST(w * w + h * h AS DOUBLE)) * (0.006 - 0.000018 * q - 0.000014 * n)", "4.0", "20.0")),
+        ("stroke_simplify", P.stroke_simplify(q, n), cl("2.7 - 0.012 * q - 0.004 * n", "0.7", "2.8")), ("max_strokes", P.max_strokes(n, w, h), cl(even("150 + 9 * n + 110 * w * h / 1000000.0"), 120, 1500)),
+        ("max_stroke_points", P.max_stroke_points(n, w, h), cl(even("5200 + 105 * n + 1450 * w * h / 1000000.0"), 5000, 26000)), ("points_per_stroke", P.points_per_stroke(q, n), cl(f"70 + q + {cut('n', 2)}", 90, 230)),
+        ("max_hatches", P.max_hatches(s, w, h), cl(even("220 + 12 * s + 260 * w * h / 1000000.0"), 220, 1800)), ("residual_threshold", P.residual_threshold(q, r), cl(f"46 - {cut('q', 5)} - {cut('r', 3)}", 12, 42)),
+        ("max_residuals", P.max_residuals(r, w, h), cl(even("r * (2.8 + w * h / 1000000.0)"), 0, 900)),
+        ("keep_count", P.keep_count(e, q, n), cl(even("e * (0.012 + 0.00075 * n + 0.00022 * q)"), f"greatest(1, {cut('e', 300)}, least(80, greatest(1, {cut('e', 300)}, {cut('e', 6)})))", f"greatest(1, {cut('e', 300)}, {cut('e', 6)})")),
+    ]
+
+
+def quality_params(spark, d):
+    """All formulas of the quality knobs, over knobs of many values."""
+    return _knobs(spark.read.parquet(f"{d}/part.parquet").select("p_partkey")).select("p_partkey", *[F.round(v.cast("double"), 6).alias(name) for name, v, _ in _formulas([F.col(x) for x in "qcpdoksnrwhe"])])
+
+
+def _params_sql():
+    import re
+
+    parts = ", ".join(f"round(CAST({re.sub(r'(?<![0-9.])[0-9]+[.][0-9]+', lambda m: m[0] + '::DOUBLE', sql)} AS DOUBLE), 6) AS {name}" for name, _, sql in _formulas([50] * 12))
+    return f"SELECT p_partkey, {parts} FROM (SELECT p_partkey, {_knobs(None)} FROM part)"
+
+
+QUERIES["quality_params"], ORACLES["quality_params"] = quality_params, _params_sql()

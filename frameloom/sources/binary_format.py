@@ -65,17 +65,24 @@ def write_regions(header: dict, frames: list[dict]) -> bytes:
     put_varint(out, header["quality"])
     put_varint(out, header["palette"])
     for frame in frames:
-        out.write(bytes([REGION_FRAME]))
-        put_varint(out, frame["f"])
-        out.write(bytes(frame["background"]))
-        put_varint(out, len(frame["regions"]))
-        for region in frame["regions"]:
-            put_varint(out, region["id"])
-            out.write(bytes(region["color"]))
-            put_varint(out, len(region["points"]))
-            for x, y in region["points"]:
-                put_varint(out, x)
-                put_varint(out, y)
+        out.write(region_frame(frame))
+    return out.getvalue()
+
+
+def region_frame(frame: dict) -> bytes:
+    """One frame's bytes: frames follow each other behind the header."""
+    out = io.BytesIO()
+    out.write(bytes([REGION_FRAME]))
+    put_varint(out, frame["f"])
+    out.write(bytes(frame["background"]))
+    put_varint(out, len(frame["regions"]))
+    for region in frame["regions"]:
+        put_varint(out, region["id"])
+        out.write(bytes(region["color"]))
+        put_varint(out, len(region["points"]))
+        for x, y in region["points"]:
+            put_varint(out, x)
+            put_varint(out, y)
     return out.getvalue()
 
 
@@ -210,68 +217,183 @@ def read_region_files(spark, path: str):
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, REGION_SCHEMA)
 
 
+REGION_FRAMES = "path string, f int, declared_f int, back_r int, back_g int, back_b int, cols int, rows int, backdrop binary, regions array<struct<id:int,r:int,g:int,b:int,points:array<struct<x:int,y:int>>,is_correction:boolean>>"
+STROKE_FRAMES = (
+    "path string, f int, declared_f int, key boolean, changes array<struct<cell:int,r:int,g:int,b:int>>, surface binary, "
+    "strokes array<struct<id:int,r:int,g:int,b:int,intensity:int,width:int,glow:int,opacity:int,points:array<struct<x:int,y:int>>,length:double>>, "
+    "residuals array<struct<x:int,y:int,w:int,h:int,r:int,g:int,b:int,opacity:int>>")
+
+
+def names(schema: str) -> list[str]:
+    """The top columns of a schema's text."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
+    return [c.split()[0] for c in out]
+
+
+def _points(points) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in points]
+
+
+def _color(rgb) -> dict:
+    return dict(zip("rgb", map(int, rgb)))
+
+
+def region_frame_rows(path: str, data: bytes) -> Iterator[tuple]:
+    """A container's frames as rows of REGION_FRAMES: those without regions too, with backgrounds and, in version 1, backdrops."""
+    _, frames = read_regions(data)
+    for f, frame in enumerate(frames):
+        cols, rows, drop = frame.get("backdrop", (None, None, None))
+        regions = [{"id": r["id"], **_color(r["color"]), "points": _points(r["points"]), "is_correction": r["id"] == 0} for r in frame["regions"]]
+        yield (path, f, frame["f"], *frame["background"], cols, rows, drop, regions)
+
+
+def stroke_frame_rows(path: str, data: bytes) -> Iterator[tuple]:
+    """A stroke container's frames as rows of STROKE_FRAMES; the surface is dense, three bytes a cell."""
+    _, frames = read_strokes(data)
+    for f, frame in enumerate(frames):
+        strokes = [{"id": s["id"], **_color(s["color"]), **{k: s[k] for k in ("intensity", "width", "glow", "opacity")}, "points": _points(s["points"]), "length": s["length"]} for s in frame["strokes"]]
+        patches = [{**{k: p[k] for k in "xywh"}, **_color(p["color"]), "opacity": p["opacity"]} for p in frame["residuals"]]
+        yield (path, f, frame["f"], frame["key"], [{"cell": c, **_color(v)} for c, v in frame["changes"]], b"".join(map(bytes, frame["surface"])), strokes, patches)
+
+
+def _read_files(spark, path: str, rows_of, schema: str):
+    """Containers in any file system that Spark reads, a file a row of work, a frame a row of the result."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for at, data in zip(pdf["path"], pdf["content"]):
+                rows = list(rows_of(at, bytes(data)))
+                for k in range(0, len(rows), 64):
+                    yield pd.DataFrame(rows[k : k + 64], columns=names(schema))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_region_frames(spark, path: str):
+    return _read_files(spark, path, region_frame_rows, REGION_FRAMES)
+
+
+def read_stroke_frames(spark, path: str):
+    return _read_files(spark, path, stroke_frame_rows, STROKE_FRAMES)
+
+
 class FilePartition(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
-class RegionReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+class ContainerReader(DataSourceReader):
+    def __init__(self, path: str, rows_of):
+        self.path, self.rows_of = path, rows_of
 
     def partitions(self):
         import glob
         import os
 
         found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [FilePartition(p) for p in found]
+        return [FilePartition(p) for p in found if not os.path.basename(p).startswith("_")]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            yield from region_rows(partition.path, f.read())
+            yield from self.rows_of(partition.path, f.read())
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, staged: str | None, path: str):
+        self.staged, self.path = staged, path
+
+
+def _points_of(points) -> list[tuple[int, int]]:
+    return [(p["x"], p["y"]) for p in points]
+
 
+def _rgb(v) -> tuple[int, int, int]:
+    return v["r"], v["g"], v["b"]
 
-class RegionWriter(DataSourceWriter):
-    """One container a partition, its rows in order of frame and z."""
 
-    def __init__(self, options: dict):
-        self.options = dict(options)
+class ContainerWriter(DataSourceWriter):
+    """One container a partition, its frames in order.
+
+    A task writes to a name of its own under ``_staging``; only what the driver
+    commits is moved into place, so files of retried, speculative or failed
+    tasks are never seen. The folder is one that driver and executors mount.
+    """
+
+    def __init__(self, options: dict, suffix: str):
+        self.options, self.suffix = dict(options), suffix
+
+    def content(self, rows) -> bytes | None:
+        raise NotImplementedError
 
     def write(self, rows):
         import os
         import uuid
 
+        data, name = self.content(rows), f"part-{uuid.uuid4().hex}{self.suffix}"
+        if data is None:
+            return Written(None, "")
+        if self.options.get("compression") == "zlib":
+            data = zlib.compress(data)
+        staging = os.path.join(self.options["path"], "_staging")
+        os.makedirs(staging, exist_ok=True)
+        staged = os.path.join(staging, name)
+        with open(staged, "wb") as f:
+            f.write(data)
+        return Written(staged, os.path.join(self.options["path"], name))
+
+    def commit(self, messages):
+        import os
+        import shutil
+
+        for m in messages:
+            if m and m.staged:
+                os.replace(m.staged, m.path)
+        shutil.rmtree(os.path.join(self.options["path"], "_staging"), ignore_errors=True)
+
+    def abort(self, messages):
+        import os
+        import shutil
+
+        shutil.rmtree(os.path.join(self.options["path"], "_staging"), ignore_errors=True)
+
+
+class RegionWriter(ContainerWriter):
+    """Of rows of regions (f, z, id, r, g, b, points), over black, or of whole frames (f, back_r, back_g, back_b, regions)."""
+
+    def content(self, rows):
         frames: dict[int, dict] = {}
         for r in rows:
-            frame = frames.setdefault(r.f, {"f": r.f, "background": (0, 0, 0), "regions": []})
-            frame["regions"].append((r.z, {"id": r.id, "color": (r.r, r.g, r.b), "points": [(p.x, p.y) for p in r.points]}))
+            if "regions" in r:
+                held = [(z, {"id": s["id"], "color": _rgb(s), "points": _points_of(s["points"])}) for z, s in enumerate(r["regions"])]
+                frames[r["f"]] = {"f": r["f"], "background": (r["back_r"], r["back_g"], r["back_b"]), "regions": held}
+            else:
+                frame = frames.setdefault(r["f"], {"f": r["f"], "background": (0, 0, 0), "regions": []})
+                frame["regions"].append((r["z"], {"id": r["id"], "color": _rgb(r), "points": _points_of(r["points"])}))
+        if not frames:
+            return None
         for frame in frames.values():
             frame["regions"] = [region for _, region in sorted(frame["regions"], key=lambda x: x[0])]
         o = self.options
         header = {"width": int(o["width"]), "height": int(o["height"]), "fps": float(o.get("fps", 30)), "quality": int(o.get("quality", 82)), "palette": int(o.get("palette", 36))}
-        data = write_regions(header, [frames[f] for f in sorted(frames)])
-        if o.get("compression") == "zlib":
-            data = zlib.compress(data)
-        os.makedirs(o["path"], exist_ok=True)
-        path = os.path.join(o["path"], f"part-{uuid.uuid4().hex}.lvfb")
-        if frames:
-            with open(path, "wb") as f:
-                f.write(data)
-        return Written(path)
+        return write_regions(header, [frames[f] for f in sorted(frames)])
 
-    def abort(self, messages):
-        import contextlib
-        import os
 
-        for m in messages:
-            if m:
-                with contextlib.suppress(OSError):
-                    os.remove(m.path)
+class StrokeWriter(ContainerWriter):
+    """Of whole frames (f, key, changes, strokes, residuals) as ``plans.jobs.stroke_frames`` gives them."""
+
+    def content(self, rows):
+        frames = []
+        for r in sorted(rows, key=lambda r: r["f"]):
+            strokes = [{k: s[k] for k in ("id", "intensity", "width", "glow", "opacity")} | {"color": _rgb(s), "points": _points_of(s["points"])} for s in r["strokes"]]
+            patches = [{k: p[k] for k in ("x", "y", "w", "h", "opacity")} | {"color": _rgb(p)} for p in r["residuals"]]
+            frames.append({"f": r["f"], "key": int(r["key"]), "changes": [(c["cell"], _rgb(c)) for c in r["changes"]], "strokes": strokes, "residuals": patches})
+        o = self.options
+        return write_strokes({"width": int(o["width"]), "height": int(o["height"]), "fps": float(o.get("fps", 30))} | {k: int(o[k]) for k in STROKE_FIELDS}, frames) if frames else None
 
 
 class RegionContainer(DataSource):
@@ -285,7 +407,24 @@ class RegionContainer(DataSource):
         return REGION_SCHEMA
 
     def reader(self, schema):
-        return RegionReader(self.options["path"])
+        return ContainerReader(self.options["path"], region_rows)
+
+    def writer(self, schema, overwrite):
+        return RegionWriter(self.options, ".lvfb")
+
+
+class StrokeContainer(DataSource):
+    """The same of stroke containers, a frame a row; the header's fields are options of the writer."""
+
+    @classmethod
+    def name(cls):
+        return "stroke_container"
+
+    def schema(self):
+        return STROKE_FRAMES
+
+    def reader(self, schema):
+        return ContainerReader(self.options["path"], stroke_frame_rows)
 
     def writer(self, schema, overwrite):
-        return RegionWriter(self.options)
+        return StrokeWriter(self.options, ".lvfs")
