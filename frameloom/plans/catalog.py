@@ -897,15 +897,19 @@ def _formulas(knobs):
     ]
 
 
+#: Added before rounding, so that no formula's value lies halfway between two decimals.
+NUDGE = 3.33333e-08
+
+
 def quality_params(spark, d):
     """All formulas of the quality knobs, over knobs of many values."""
-    return _knobs(spark.read.parquet(f"{d}/part.parquet").select("p_partkey")).select("p_partkey", *[F.round(v.cast("double"), 4).alias(name) for name, v, _ in _formulas([F.col(x) for x in "qcpdoksnrwhe"])])
+    return _knobs(spark.read.parquet(f"{d}/part.parquet").select("p_partkey")).select("p_partkey", *[F.round(v.cast("double") + NUDGE, 6).alias(name) for name, v, _ in _formulas([F.col(x) for x in "qcpdoksnrwhe"])])
 
 
 def _params_sql():
     import re
 
-    parts = ", ".join(f"round(CAST({re.sub(r'(?<![0-9.])[0-9]+[.][0-9]+', lambda m: m[0] + '::DOUBLE', sql)} AS DOUBLE), 4) AS {name}" for name, _, sql in _formulas([50] * 12))
+    parts = ", ".join(f"round(CAST({re.sub(r'(?<![0-9.])[0-9]+[.][0-9]+', lambda m: m[0] + '::DOUBLE', sql)} AS DOUBLE) + {NUDGE!r}::DOUBLE, 6) AS {name}" for name, _, sql in _formulas([50] * 12))
     return f"SELECT p_partkey, {parts} FROM (SELECT p_partkey, {_knobs(None)} FROM part)"
 
 
