@@ -17,8 +17,11 @@ SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Nodes in 16 whose shingles are counted to tell common ones, in so many of them at least, and how many are told; these only order shingles and lose nothing.
 SAMPLE_IN, COMMON_IN, COMMON_MOST = 16, 3, 200_000
-#: Least hashes of a set by which it is filed at first, and multipliers (fixed odd numbers) that stand for their orders.
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Orders of the hashes (odd multipliers) in each of which a set's least one is kept; a set at first meets the next few in the order of these that agree in so many.
+MIXERS = tuple(pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9))
+NEXT, AGREE = 2, 5
+#: Parts of the hashes' range whose counts bound what two sets can share.
+SKETCH = 64
 #: Parts that a common shingle's block is dealt to, and copies of a text that many are compared with.
 PARTS, COPIES = 4096, 256
 
@@ -60,15 +63,16 @@ def distinct(blocks: Iterable):
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
 
 
-def profile(text: bytes | None, words: int) -> tuple[int, int, int, list[int]]:
-    """The fingerprint, a hash of the set of shingles, that set's size, and its least shingles in each of a few orders."""
+def profile(text: bytes | None, words: int) -> tuple[int, int, int, list[int], list[int]]:
+    """The fingerprint, a hash of the set of shingles, that set's size, its least shingles in each of a few orders, and how many lie in each part of the range."""
     import numpy as np
     import xxhash
 
     blocks = list(shingle_hashes(text, words))
     own = distinct(blocks)
     least = [int((own * np.uint64(m)).min().view(np.int64)) for m in MIXERS] if len(own) else []
-    return fingerprint_of(blocks), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own), least
+    sketch = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).tolist()
+    return fingerprint_of(blocks), int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own), least, sketch
 
 
 def prefix(text: bytes | None, words: int, similarity: float, common: tuple) -> tuple:
@@ -130,7 +134,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text key, fp, node, n, least) for each row; see ``profile``."""
+    """(id, text key, fp, node, n, least, sketch) for each row; see ``profile``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -139,11 +143,11 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
         for batch in batches:
             found = [profile(x.as_py(), words) for x in batch.column(3)]
             made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, pa.array([f[3] for f in found], pa.list_(pa.int64()))], names=["_out", "_t1", "_t2", "fp", "node", "n", "least"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, pa.array([f[3] for f in found], pa.list_(pa.int64())), pa.array([f[4] for f in found], pa.list_(pa.int32()))], names=["_out", "_t1", "_t2", "fp", "node", "n", "least", "sketch"])
 
     text = text_of(text_col)
     told = docs.select(F.col(id_col).alias("_out"), *text_key(text), text.cast("binary").alias("_t"))
-    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, n bigint, least array<bigint>")
+    return told.mapInArrow(run, f"_out {kind}, _t1 bigint, _t2 bigint, fp bigint, node bigint, n bigint, least array<bigint>, sketch array<int>")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -308,26 +312,53 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return out
 
 
+def bounded(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may have this similarity: in no part of the hashes' range can two sets share more than the smaller count there."""
+    held = nodes.select("node", "n", "sketch")
+    one, two = (held.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return pairs.join(one, "a").join(two, "b").where(most * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * F.lit(similarity) - 1e-6).select("a", "b")
+
+
+def first_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with the first one of those of the same fingerprint keys, and with neighbours; a few a node.
+
+    For each order, nodes with the same two least shingles are sorted by all of
+    theirs, so that neighbours agree in most; a node meets the ``NEXT`` ones
+    before it that agree in ``AGREE`` or more.
+    """
+    turned = F.transform(F.sequence(F.lit(0), F.lit(len(MIXERS) - 1)), lambda i: F.concat(F.slice("least", i + 1, len(MIXERS)), F.slice("least", F.lit(1), i)))
+    filed = nodes.select("node", "n", F.posexplode(turned).alias("i", "v"))
+    order = Window.partitionBy("i", F.col("v")[0], F.col("v")[1]).orderBy("v", "node")
+    here = filed.select("node", "n", "v", *[F.lag(F.struct("node", "n", "v"), j).over(order).alias(f"_p{j}") for j in range(1, NEXT + 1)])
+    met = here.select("node", "n", "v", F.explode(F.array(*[f"_p{j}" for j in range(1, NEXT + 1)])).alias("_f")).where("_f IS NOT NULL")
+    agree = F.size(F.filter(F.zip_with("v", "_f.v", lambda x, y: x == y), lambda same: same)) >= AGREE
+    size = F.least("n", "_f.n") >= F.lit(similarity) * F.greatest("n", "_f.n")
+    met = met.where(size).where(agree).select(F.least("_f.node", "node").alias("a"), F.greatest("_f.node", "node").alias("b"))
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = near_first(by_fp).join(by_fp.withColumnRenamed("fp", "a").withColumnRenamed("node", "_a"), "a").join(by_fp.withColumnRenamed("fp", "b").withColumnRenamed("node", "_b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return met.unionByName(near).distinct()
+
+
 def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that links of this similarity join. ``nodes`` is (node, fp, least), ``texts`` (node, n, t).
+    """(node, root) of the nodes that links of this similarity join. ``nodes`` is (node, n, fp, least, sketch), ``texts`` (node, n, t).
 
-    At first each node meets the first one of those with its fingerprint's
-    segments (by the pigeonring's keys) and with each of its least shingles, a
-    few in all, which joins large groups of near copies. Then all nodes of
+    At first each node meets a few: the first one of those with its fingerprint's
+    segments (by the pigeonring's keys), and neighbours in the orders of least
+    shingles, which joins large groups of near copies. Then all nodes of
     different roots that share a shingle of their prefixes meet, so that no link
-    is left out. Every pair is compared exactly.
+    is left out. Pairs that the sketches rule out are dropped before texts are
+    moved; every other pair is compared exactly.
     """
-    filed = nodes.select("node", F.posexplode("least").alias("i", "k"))
-    first = filed.groupBy("i", "k").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("_f"))
-    met = filed.join(first, ["i", "k"]).where("_f.node <> node").select(F.col("_f.node").alias("a"), F.col("node").alias("b"))
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = near_first(by_fp).join(by_fp.withColumnRenamed("fp", "a").withColumnRenamed("node", "_a"), "a").join(by_fp.withColumnRenamed("fp", "b").withColumnRenamed("node", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    roots, _ = save(connected_components(alike(met.unionByName(near).distinct(), texts, words, similarity)), "roots")
+    roots, _ = save(connected_components(alike(first_pairs(nodes, similarity), texts, words, similarity)), "roots")
     tidy(texts.sparkSession)
     filed, filed_at = blocks(rooted(texts, roots, "node"), words, similarity)
-    more = alike(block_pairs(filed, similarity), texts, words, similarity)
+    pairs, pairs_at = save(bounded(block_pairs(filed, similarity), nodes, similarity), "pairs")
     delete(texts.sparkSession, filed_at)
     tidy(texts.sparkSession)
+    more = alike(pairs, texts, words, similarity)
+    delete(texts.sparkSession, pairs_at)
+    tidy(texts.sparkSession)
     return roots if more.isEmpty() else save(connected_components(stars(roots).unionByName(more)), "roots")[0]
 
 
@@ -348,8 +379,8 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     each, each_at = save(profiles(docs, id_col, text_col, words).withColumnRenamed("node", "set"), "profiles")
     # a node goes by the key of the text that stands for it, so texts meet their nodes, and later roots, where they are
-    first = F.min(F.struct("_t1", "_t2", "n", "fp", "least")).alias("_f")
-    nodes, nodes_at = save(each.groupBy("set").agg(F.min("_out").alias("_least"), first).select("set", "_least", F.col("_f._t1").alias("node"), "_f.n", "_f.fp", "_f.least"), "nodes")
+    first = F.min(F.struct("_t1", "_t2", "n", "fp", "least", "sketch")).alias("_f")
+    nodes, nodes_at = save(each.groupBy("set").agg(F.min("_out").alias("_least"), first).select("set", "_least", F.col("_f._t1").alias("node"), "_f.n", "_f.fp", "_f.least", "_f.sketch"), "nodes")
     some = nodes.where("n > 0")
     text = text_of(text_col)
     key, _ = text_key(text)
@@ -357,7 +388,7 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(key.alias("node"), text.cast("binary").alias("_t")).groupBy("node").agg(F.first("_t").alias("_t")).join(some.select("node", "n"), "node")
     held, held_name, held_at = save_bucketed(texts, "node-texts", "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
     tidy(spark)
-    roots = similar_roots(some.select("node", "fp", "least"), held, words, similarity)
+    roots = similar_roots(some.select("node", "n", "fp", "least", "sketch"), held, words, similarity)
     drop_bucketed(spark, held_name, held_at)
     joined, _ = save(rooted(nodes.select("set", "node", "_least"), roots, "node"), "named")
     delete(spark, nodes_at)
