@@ -596,7 +596,17 @@ def _means(spark, d):
     return FR.connected(pixel, "v", W, H).join(pixel, ["f", "k"]).groupBy("f", F.col("component").alias("id")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "bgr"])
 
 
-@query()
+def _weighted_sql(size, steps):
+    parts = [f"""{COMP}, mean AS (SELECT c.f, c.component AS id, count(*) AS n, avg(p.b) AS b, avg(p.g) AS g, avg(p.r) AS r FROM comp c JOIN pixel p USING (f, k) GROUP BY 1, 2),
+      s0 AS (SELECT f, id AS k, b, g, r, least(96, greatest(1, sqrt(n))) AS w, row_number() OVER (PARTITION BY f ORDER BY {LUM}, id) - 1 AS i, count(*) OVER (PARTITION BY f) AS nn FROM mean)""",
+             f"c0 AS (SELECT f, j AS idx, b, g, r FROM s0, range(0, {size}) t(j) WHERE j < nn AND CAST(round_even(j * (nn - 1) / greatest(1.0::DOUBLE, least({size}, nn) - 1.0::DOUBLE), 0) AS BIGINT) = i)"]
+    for i in range(steps):
+        near = _nearest_sql("s0", f"c{i}", ", any_value(p.w) AS w")
+        parts.append(f"c{i + 1} AS (SELECT c.f, c.idx, " + ", ".join(f"coalesce(s{c}, c.{c}) AS {c}" for c in "bgr") + f" FROM c{i} c LEFT JOIN (SELECT f, idx, " + ", ".join(f"sum(w * {c}) / sum(w) AS s{c}" for c in "bgr") + f" FROM {near} GROUP BY f, idx) q ON c.f = q.f AND c.idx = q.idx)")
+    return "AND " + ", ".join(parts) + f" SELECT f, idx, round(b, 6) AS b, round(g, 6) AS g, round(r, 6) AS r FROM c{steps}"
+
+
+@query(_weighted_sql(4, 6))
 def weighted_palette(spark, d):
     return PA.weighted_kmeans(_means(spark, d), 4).select("f", "idx", *[r6(F.col(c), c) for c in "bgr"])
 
