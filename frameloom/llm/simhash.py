@@ -155,7 +155,11 @@ def segment(fp: Column, i: int) -> Column:
 
 
 def _filed(fps: DataFrame) -> DataFrame:
-    """Each fingerprint under each start of a chain: its segment there and the next one make a key of 32 bits."""
+    """Each fingerprint under each start of a chain: its segment there and the next one make a key of 32 bits.
+
+    Spark takes such rows to be as small as the file they come from, so joins
+    with them ask to be merged: a broadcast would hold all of them in the driver.
+    """
     keys = [F.struct(F.lit(i).alias("i"), F.shiftleft(segment(F.col("fp"), i), SEGMENT_BITS).bitwiseOR(segment(F.col("fp"), i + 1)).alias("k")) for i in range(SEGMENTS)]
     return fps.select("*", F.inline(F.array(*keys)))
 
@@ -164,7 +168,7 @@ def near_first(fps: DataFrame, within: int = 3) -> DataFrame:
     """Links (a, b) of fingerprints to the first of those with the same key: at most four each, which join dense groups."""
     filed = _filed(fps.select("fp"))
     first = filed.groupBy("i", "k").agg(F.min("fp").alias("a"))
-    return filed.join(first, ["i", "k"]).where(F.col("a") != F.col("fp")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= within).select("a", F.col("fp").alias("b")).distinct()
+    return filed.join(first.hint("merge"), ["i", "k"]).where(F.col("a") != F.col("fp")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= within).select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, within: int = 3) -> DataFrame:
@@ -185,13 +189,13 @@ def links(fps: DataFrame, within: int = 3) -> DataFrame:
     changes = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(SEGMENT_BITS)])
     asked = filed.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), "i", F.explode(F.transform(changes, lambda m: F.col("k").bitwiseXOR(m))).alias("k"))
     held = filed.groupBy("i", "k").agg(F.min("root").alias("_least"), F.max("root").alias("_most"))
-    asked = asked.join(held, ["i", "k"]).where("_least <> root_b OR _most <> root_b").drop("_least", "_most")
+    asked = asked.join(held.hint("merge"), ["i", "k"]).where("_least <> root_b OR _most <> root_b").drop("_least", "_most")
     a, b = F.col("a"), F.col("b")
     diff = a.bitwiseXOR(b)
     turn = F.expr("((i + 2) % 4) * 16")
     third = F.bit_count(F.call_function("shiftrightunsigned", diff, turn).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
     second = F.bit_count(F.call_function("shiftrightunsigned", diff, F.expr("((i + 1) % 4) * 16")).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)))
-    met = asked.join(filed.withColumnRenamed("fp", "a"), ["i", "k"]).where("a < b AND root <> root_b").where(second + third <= 2).where(F.bit_count(diff) <= within)
+    met = asked.join(filed.withColumnRenamed("fp", "a").hint("merge"), ["i", "k"]).where("a < b AND root <> root_b").where(second + third <= 2).where(F.bit_count(diff) <= within)
     return met.select("a", "b").distinct()
 
 
