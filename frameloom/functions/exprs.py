@@ -189,9 +189,10 @@ def is_stroke_path(path) -> Column:
 
 
 def varint_hex(v: str) -> Column:
-    """Unsigned LEB128 of a number below 2^31, as hexadecimal digits."""
-    groups = f"CASE WHEN {v} < 128 THEN 1 WHEN {v} < 16384 THEN 2 WHEN {v} < 2097152 THEN 3 WHEN {v} < 268435456 THEN 4 ELSE 5 END"
-    return F.expr(f"lower(array_join(transform(sequence(0, {groups} - 1), i -> lpad(hex((shiftright({v}, 7 * i) & 127) + IF(i + 1 < {groups}, 128, 0)), 2, '0')), ''))")
+    """Unsigned LEB128 of a number below 2^63, as hexadecimal digits; null of null."""
+    n = f"bigint({v})"
+    groups = f"CASE {' '.join(f'WHEN {n} < {1 << 7 * g}L THEN {g}' for g in range(1, 9))} ELSE 9 END"
+    return F.expr(f"IF({n} IS NULL, NULL, lower(array_join(transform(sequence(0, {groups} - 1), i -> lpad(hex((shiftright({n}, 7 * i) & 127) + IF(i + 1 < {groups}, 128, 0)), 2, '0')), '')))")
 
 
 def varint_value(h: str) -> Column:

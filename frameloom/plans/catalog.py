@@ -614,8 +614,8 @@ def weighted_palette(spark, d):
 @query("""AND v AS (SELECT f, k, (f * 500 + k) * 2731 AS n FROM pixel) SELECT f, k, n AS value, lower(printf('%02x', (n & 127) + CASE WHEN n >= 128 THEN 128 ELSE 0 END) || CASE WHEN n >= 128 THEN printf('%02x', ((n >> 7) & 127) + CASE WHEN n >= 16384 THEN 128 ELSE 0 END) ELSE '' END
   || CASE WHEN n >= 16384 THEN printf('%02x', ((n >> 14) & 127) + CASE WHEN n >= 2097152 THEN 128 ELSE 0 END) ELSE '' END || CASE WHEN n >= 2097152 THEN printf('%02x', ((n >> 21) & 127) + CASE WHEN n >= 268435456 THEN 128 ELSE 0 END) ELSE '' END || CASE WHEN n >= 268435456 THEN printf('%02x', n >> 28) ELSE '' END) AS hex, n AS back FROM v""")
 def varint_roundtrip(spark, d):
-    v = event_raster(spark, d).selectExpr("f", "k", "(f * 500 + k) * 2731 AS value").withColumn("hex", X.varint_hex("value"))
-    return v.select("f", "k", F.col("value").cast("long").alias("value"), "hex", X.varint_value("hex").alias("back"))
+    v = event_raster(spark, d).selectExpr("f", "k", "(bigint(f) * 500 + k) * 2731 AS value").withColumn("hex", X.varint_hex("value"))
+    return v.select("f", "k", "value", "hex", X.varint_value("hex").alias("back"))
 
 
 def _texted(spark, d):
