@@ -448,15 +448,12 @@ def _rings(spark, d, tolerance):
   SELECT f, idx, component, area FROM sd""")
 def ring_components(spark, d):
     """Each component has one ring, which with its holes encloses the component's pixels."""
-    pixel = _bands(spark, d)
-    comp = FR.connected(pixel, "v", W, H)
-    sizes = comp.groupBy("f", "component").agg(F.count("*").alias("area"))
-    return _rings(spark, d, 1.0).where("area > 0").join(sizes.withColumnRenamed("area", "pixels"), ["f", "component"]).select("f", "idx", "component", F.col("pixels").alias("area"))
+    return _rings(spark, d, 1.0).where("area > 0").select("f", "idx", "component", F.col("pixels").alias("area"))
 
 
 @query()
 def boundary_rings(spark, d):
-    return _rings(spark, d, 1.0).drop("points")
+    return _rings(spark, d, 1.0).drop("pixels", "points")
 
 
 @query()
