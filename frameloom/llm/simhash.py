@@ -22,8 +22,12 @@ MIXERS = tuple(pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9))
 NEXT, AGREE = 2, 5
 #: Parts of the hashes' range whose counts bound what two sets can share.
 SKETCH = 64
-#: Parts that a common shingle's block is dealt to, and copies of a text that many are compared with.
-PARTS, COPIES = 4096, 256
+#: Parts that a common shingle's block is dealt to, and how many others a copy of a text is compared with.
+PARTS, COMPARED = 4096, 64
+#: Pairs a node that blocks give at first, how many times as many they give next, and the share from which on they give all the rest.
+AT_FIRST, GROW, ALL_FROM = 4, 16, 0.25
+#: A pair's place among these tells when it is compared.
+TURNS = 1 << 40
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator:
@@ -274,21 +278,38 @@ def may_be_alike(similarity: float) -> Column:
     return F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) * (1 + similarity) >= (F.col("n") + F.col("n_b")) * F.lit(similarity) - 1e-6
 
 
-def block_pairs(filed: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of nodes that meet in a block, may be alike and have different roots. ``filed`` is (k, node, root, n, i)."""
-    other = filed.select("k", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b"))
-    met = filed.join(other, "k").where("root < root_b").where(may_be_alike(similarity))
+def shares(filed: DataFrame) -> list[float]:
+    """Growing shares of the pairs in blocks, up to all of them: a few for each node at first."""
+    met, nodes = filed.groupBy("k").agg(F.count("*").cast("double").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0], filed.agg(F.approx_count_distinct("node")).first()[0]
+    share, out = AT_FIRST * nodes / max(met or 0, 1), []
+    while share < ALL_FROM:
+        out.append(share)
+        share *= GROW
+    return [*out, 1.0]
+
+
+def block_pairs(filed: DataFrame, similarity: float, after: float = 0.0, upto: float = 1.0) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a block, may be alike and have different roots: those with a place in this part of all. ``filed`` is (k, node, root, n, i)."""
+    of = Window.partitionBy("k")
+    mixed = filed.select("*", F.min("root").over(of).alias("_least"), F.max("root").over(of).alias("_most")).where("_least <> _most").drop("_least", "_most")
+    other = mixed.select("k", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("root").alias("root_b"))
+    met = mixed.join(other, "k").where("root < root_b").where(may_be_alike(similarity))
+    if (after, upto) != (0.0, 1.0):
+        place = F.pmod(F.xxhash64(F.least("node", "b"), F.greatest("node", "b")), F.lit(TURNS))
+        met = met.where((place >= int(after * TURNS)) & (place < int(upto * TURNS)))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have this similarity, compared shingle by shingle. ``texts`` is (node, t).
 
-    A text that many others are compared with is read in up to ``COPIES``
-    places, and once in each: its row stands before those of the others.
+    A text that many others are compared with is read in a place for each
+    ``COMPARED`` of these, and once there: its row stands before those of the
+    others.
     """
     spark = texts.sparkSession
-    met, met_at = save(pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(COPIES))), "asked")
+    places = F.ceil(F.count("*").over(Window.partitionBy("a")) / COMPARED)
+    met, met_at = save(pairs.withColumn("_part", F.pmod(F.xxhash64("b"), places)), "asked")
     held = texts.select("node", "_t")
     heads = met.select("a", "_part").distinct().join(held.withColumnRenamed("node", "a"), "a").select("a", "_part", F.lit(None).cast("bigint").alias("b"), "_t")
     others = met.join(held.withColumnRenamed("node", "b"), "b").select("a", "_part", "b", "_t")
@@ -349,21 +370,34 @@ def similar_roots(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
 
     At first each node meets a few: the first one of those with its fingerprint's
     segments (by the pigeonring's keys), and neighbours in the orders of least
-    shingles, which joins large groups of near copies. Then all nodes of
-    different roots that share a shingle of their prefixes meet, so that no link
-    is left out. Pairs that the sketches rule out are dropped before texts are
+    shingles, which joins large groups of near copies. Then nodes of different
+    roots that share a shingle of their prefixes meet, in growing shares of such
+    pairs until all have had their turn: links found in a share join most
+    members of a dense group, and pairs that these have joined need not meet any
+    more. So no link between different roots is left out. Pairs that the sketches rule out are dropped before texts are
     moved; every other pair is compared exactly.
     """
+    spark = texts.sparkSession
     roots, _ = save(connected_components(alike(first_pairs(nodes, similarity), texts, words, similarity)), "roots")
-    tidy(texts.sparkSession)
+    tidy(spark)
     filed, filed_at = blocks(rooted(texts, roots, "node"), words, similarity)
-    pairs, pairs_at = save(bounded(block_pairs(filed, similarity), nodes, similarity), "pairs")
-    delete(texts.sparkSession, filed_at)
-    tidy(texts.sparkSession)
-    more = alike(pairs, texts, words, similarity)
-    delete(texts.sparkSession, pairs_at)
-    tidy(texts.sparkSession)
-    return roots if more.isEmpty() else save(connected_components(stars(roots).unionByName(more)), "roots")[0]
+    after = 0.0
+    for upto in shares(filed):
+        pairs, pairs_at = save(bounded(block_pairs(filed, similarity, after, upto), nodes, similarity), "pairs")
+        tidy(spark)
+        more = alike(pairs, texts, words, similarity)
+        delete(spark, pairs_at)
+        if not more.isEmpty():
+            roots, _ = save(connected_components(stars(roots).unionByName(more)), "roots")
+            if upto < 1:
+                now = roots.select(F.col("node").alias("root"), F.col("root").alias("_now"))
+                again, again_at = save(filed.join(now, "root", "left").select("k", "node", F.coalesce("_now", "root").alias("root"), "n", "i"), "blocks")
+                delete(spark, filed_at)
+                filed, filed_at = again, again_at
+        tidy(spark)
+        after = upto
+    delete(spark, filed_at)
+    return roots
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
