@@ -5,14 +5,15 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, id_of, new_path, save
 
-#: Bytes of text that a worker tokenises at a time (one longer text is taken alone).
-SLICE_BYTES = 12 << 20
+#: Bytes of text that a worker gets and tokenises at a time (one longer text is taken alone); its memory grows with them.
+SLICE_BYTES = 4 << 20
 #: A blank behind a space, or a space at the end: there, words can't be tokenised apart.
 _RUNS = r"\x20(?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 HEADER = 16
@@ -40,7 +41,7 @@ class Tokenizer:
     def encode(self, text: str):
         import numpy as np
 
-        return np.array(self.encoding.encode_ordinary(text), np.uint16)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)  # a buffer: a list takes ten times as much
 
     def slice(self, texts):
         """The ids of an Arrow array of texts: one array of 16-bit numbers each."""
@@ -128,6 +129,18 @@ def ranks_of(spark: SparkSession, path: str) -> dict[bytes, int]:
     return ranks
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run in here hand their workers batches of about SLICE_BYTES: Spark's own of 64 MB are held by the executor and by the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, given = spark.conf.get(key), spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(key, str(given if 0 < given < SLICE_BYTES else SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_of(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
 
@@ -218,21 +231,23 @@ def write_training_order(
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     shared = spark.sparkContext.broadcast(ranks_of(spark, ranks_path))  # a vocabulary of some 50,000 entries
-    told, _ = save(counts(docs, shared, pattern, length, id_col, text_col), "token-counts")
+    with small_batches(spark):
+        told, _ = save(counts(docs, shared, pattern, length, id_col, text_col), "token-counts")
     starts, n = {}, 0
     for r in told.orderBy("first", "part").collect():  # a row for each input partition, which the driver schedules anyway
         starts[r["part"]], n = (n, r["n"]), n + r["n"]
     stride = HEADER + 2 * length + 1
     per_shard = max(1, shard_bytes // stride)
     shards = max(1, -(-n // per_shard))
-    made = records(docs, shared, spark.sparkContext.broadcast(starts), pattern, length, pad, id_col, text_col)
-    placed = permute(made, "index", max(n, 1), key, "slot").withColumn("shard", F.expr(f"slot div {per_shard}"))
-    # the cast keeps the bytes as they are; the text sink writes them and a line feed
-    (
-        placed.select("shard", "slot", F.col("value").cast("string").alias("value"))
-        .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-        .select("value", "shard").write.partitionBy("shard").text(path)
-    )
+    with small_batches(spark):
+        made = records(docs, shared, spark.sparkContext.broadcast(starts), pattern, length, pad, id_col, text_col)
+        placed = permute(made, "index", max(n, 1), key, "slot").withColumn("shard", F.expr(f"slot div {per_shard}"))
+        # the cast keeps the bytes as they are; the text sink writes them and a line feed
+        (
+            placed.select("shard", "slot", F.col("value").cast("string").alias("value"))
+            .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+            .select("value", "shard").write.partitionBy("shard").text(path)
+        )
     index = spark.createDataFrame([(n, per_shard, shards if n else 0, stride, length, key)], "records long, per_shard long, shards long, stride int, length int, key long")
     index.coalesce(1).write.json(f"{path}/{INDEX}")
     return path
